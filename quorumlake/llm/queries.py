@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.functions.clean import blank_to_null, norm_id, trimmed
-from quorumlake.llm import consensus, contamination, languages, packing
+from quorumlake.llm import consensus, contamination, languages, linkage, packing
+from quorumlake.operators.skew import salted_join
 from quorumlake.session import table
 
 #: Where the tokenizers' vocabulary files are; a parameter of the packing queries.
@@ -21,6 +22,50 @@ PLACEHOLDERS = ["-", "--", "?", "??", "n/a", "na", "nan", "none", "null", "tba",
 UNLISTED_RANK = 99
 
 
+def usual(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value): the value that most rows of a key have, the smallest of equals; nulls don't count."""
+    counted = rows.dropna(subset=[key, value]).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy(key).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(value))
+
+
+def p2_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The form each raid boss describes, with the label model's confidence.
+
+    Single rows of species and forms carry a wrong or no number, so the usual number of a slug counts;
+    a form without any belongs to the species its species_slug names, or else its own slug.
+    """
+    b, f, s = (table(spark, d, n) for n in ("raid_bosses", "forms", "species"))
+    species = s.select(norm_id(s["slug"]).alias("_species"), F.col("dex_number").alias("_dex"), "name", "localized_names")
+    numbers = usual(species, "_species", "_dex")
+    bosses = b.select(
+        b["boss_id"].cast("bigint").alias("boss_id"), "name", "form", "costume", b["pokemon_id"].alias("reference"),
+        "min_cp", "max_cp", "min_boosted_cp", "max_boosted_cp", b["snapshot_ts"].alias("snapshot"), b["loaded_at"].alias("loaded"),
+    )
+    forms = f.select(
+        norm_id(f["slug"]).alias("slug"), f["dex_number"].alias("_own"), norm_id(f["species_slug"]).alias("_species"),
+        f["form_name"].alias("variant"), f["costume_name"].alias("costume"), f["snapshot_ts"].alias("snapshot"),
+        f["base_attack"].alias("attack"), f["base_defense"].alias("defence"), f["base_stamina"].alias("stamina"),
+    )
+    from_slug = F.regexp_extract("slug", r"_dex_([0-9]+)_", 1).try_cast("int")
+    owners = (
+        forms.groupBy("slug")
+        .agg(F.max("_species").alias("_species"))
+        .withColumn("_species", F.coalesce("_species", F.regexp_replace("slug", "-standard$", "")))
+        .join(usual(forms, "slug", "_own"), "slug", "left")
+    )
+    owners = salted_join(owners, numbers, ["_species"], F.col("slug"), "left").select("slug", F.coalesce("_own", "_dex", from_slug).alias("dex"))
+    forms = forms.drop("_own", "_species").join(owners, "slug")
+    localized = F.map_values(F.from_json("localized_names", "map<string,string>"))
+    spellings = F.explode(F.concat(F.array("name", "_species"), F.coalesce(localized, F.array().cast("array<string>"))))
+    names = species.select("_species", spellings.alias("name")).distinct().join(numbers, "_species").select(F.col("_dex").alias("dex"), "name")
+    return linkage.match_forms(bosses, forms, names)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The form each raid boss describes."""
+    return p2_confidence(spark, d).select("boss_id", "form_slug")
+
+
 def source_key(c):
     return F.translate(norm_id(c), "- ", "__")
 
@@ -137,5 +182,5 @@ def p10_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p5_found, p5_consensus, p5_corrections, p8_sequences, p8_fill, p9_found, p9_items, p10_found, p10_confidence)
+    for f in (p2_found, p2_confidence, p5_found, p5_consensus, p5_corrections, p8_sequences, p8_fill, p9_found, p9_items, p10_found, p10_confidence)
 }
