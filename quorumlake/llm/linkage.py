@@ -44,92 +44,106 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(votes), -500, 500)))
 
 
-def maximisation(votes: np.ndarray, n: np.ndarray, y: np.ndarray, sizes: list[int], parents: list[int], smooth: float) -> LabelModel:
-    tables = []
+def monotone(ratios: np.ndarray, weights: np.ndarray, leaning: np.ndarray) -> np.ndarray:
+    """The closest ratios (weighted) that don't fall where the leaning rises, by pooling violators."""
+    order = np.argsort(leaning, kind="stable")
+    blocks: list[list[float]] = []
+    for k in order:
+        blocks.append([ratios[k], max(weights[k], 1e-9), 1])
+        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+            r, w, n = blocks.pop()
+            q, v, m = blocks[-1]
+            blocks[-1] = [(r * w + q * v) / (w + v), w + v, m + n]
+    out = np.empty(len(ratios))
+    out[order] = np.concatenate([np.full(n, r) for r, _, n in blocks])
+    return out
+
+
+def maximisation(
+    votes: np.ndarray, n: np.ndarray, y: np.ndarray, leaning: list[list[float]], parents: list[int], smooth: float
+) -> LabelModel:
+    """Tables from soft labels. A vote that leans more to a match than another never counts less for it."""
+    sizes, tables = [len(x) for x in leaning], []
     for k, p in enumerate(parents):
         table = np.full((2, sizes[p] if p >= 0 else 1, sizes[k]), smooth)
         at = votes[:, p] if p >= 0 else np.zeros(len(votes), int)
         np.add.at(table, (1, at, votes[:, k]), n * y)
         np.add.at(table, (0, at, votes[:, k]), n * (1 - y))
-        tables.append(table / table.sum(2, keepdims=True))
+        seen = table.sum(0)
+        table /= table.sum(2, keepdims=True)
+        spoken = np.array([c != 0 for c in range(sizes[k])])  # abstaining is no step on the scale
+        for q in range(table.shape[1]):
+            ratio = np.log(table[1, q]) - np.log(table[0, q])
+            ratio[spoken] = monotone(ratio[spoken], seen[q][spoken], np.array(leaning[k])[spoken])
+            table[0, q] = table[1, q] / np.exp(ratio)
+        tables.append(table)
     prior = float(np.clip((n * y).sum() / n.sum(), 1e-4, 1 - 1e-4))
     return LabelModel(sizes, parents, prior, tables)
 
 
-def dependency_tree(votes: np.ndarray, n: np.ndarray, y: np.ndarray, sizes: list[int], least: float) -> list[int]:
-    """Parents by the maximum spanning forest over conditional mutual information of at least `least`."""
-    k = len(sizes)
-    edges = []
-    for a in range(k):
-        for b in range(a + 1, k):
-            info = 0.0
-            for side in (y, 1 - y):
-                joint = np.zeros((sizes[a], sizes[b]))
-                np.add.at(joint, (votes[:, a], votes[:, b]), n * side)
-                if joint.sum() > 0:
-                    share = joint.sum() / n.sum()
-                    joint = joint / joint.sum()
-                    outer = joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)
-                    on = joint > 0
-                    info += share * float((joint[on] * np.log(joint[on] / outer[on])).sum())
-            if info >= least:
-                edges.append((info, a, b))
-    links: dict[int, list[int]] = {i: [] for i in range(k)}
-    root = list(range(k))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for _, a, b in sorted(edges, reverse=True):
-        if find(a) != find(b):
-            root[find(a)] = find(b)
-            links[a].append(b)
-            links[b].append(a)
-    parents, seen = [-1] * k, set()
-    for start in range(k):
-        stack = [start] if start not in seen else []
-        seen.add(start)
-        while stack:
-            x = stack.pop()
-            for z in links[x]:
-                if z not in seen:
-                    seen.add(z)
-                    parents[z] = x
-                    stack.append(z)
-    return parents
-
-
-def fit_label_model(
-    votes: np.ndarray, counts: np.ndarray, leaning: list[list[float]], rounds: int = 60, smooth: float = 0.5, least_information: float = 0.02
-) -> LabelModel:
+def expectation_maximisation(
+    votes: np.ndarray, n: np.ndarray, leaning: list[list[float]], parents: list[int], rounds: int, smooth: float
+) -> tuple[LabelModel, float]:
+    """The model for given dependencies, and the log likelihood of the votes under it."""
+    # a function that follows another has no say of its own at the start
+    lean = sum((np.array(leaning[k])[votes[:, k]] for k, p in enumerate(parents) if p < 0), np.zeros(len(votes)))
+    y = 1 / (1 + np.exp(-lean))
+    for _ in range(rounds):
+        model = maximisation(votes, n, y, leaning, parents, smooth)
+        fresh = model.posterior(votes)
+        done = np.abs(fresh - y).max() < 1e-6
+        y = fresh
+        if done:
+            break
+    likelihood = np.zeros((2, len(votes)))
+    likelihood[1], likelihood[0] = np.log(model.prior), np.log(1 - model.prior)
+    for k, p in enumerate(parents):
+        at = votes[:, p] if p >= 0 else np.zeros(len(votes), int)
+        for side in (0, 1):
+            likelihood[side] += np.log(model.tables[k][side, at, votes[:, k]])
+    return model, float((n * np.logaddexp(*likelihood)).sum())
+
+
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, leaning: list[list[float]], rounds: int = 60, smooth: float = 0.5) -> LabelModel:
     """EM on distinct vote patterns (rows of category numbers) and their counts.
 
-    leaning: for each function and category how far the vote speaks for a match; only the starting
-    point. First the functions are taken as independent, then with the tree their residual
-    dependencies suggest. Without any pattern the model says what the leanings say.
+    leaning: for each function and category how far the vote speaks for a match: the starting point,
+    and the order in which votes may count. Dependencies are added one at a time, each function
+    following at most one other, as long as they explain the votes better than their number of
+    parameters costs (BIC). Without any pattern nothing is known and the prior is one half.
     """
     sizes = [len(x) for x in leaning]
     n = np.asarray(counts, float)
     votes = np.asarray(votes, int).reshape(-1, len(sizes))
-    lean = sum(np.array(leaning[k])[votes[:, k]] for k in range(len(sizes))) if len(votes) else np.zeros(0)
-    y = 1 / (1 + np.exp(-lean))
     parents = [-1] * len(sizes)
     if not len(votes):
         one = np.ones((2, 1, 1))
         return LabelModel(sizes, parents, 0.5, [np.repeat(one, s, 2) / s for s in sizes])
-    for step in range(2):
-        for _ in range(rounds):
-            model = maximisation(votes, n, y, sizes, parents, smooth)
-            fresh = model.posterior(votes)
-            done = np.abs(fresh - y).max() < 1e-6
-            y = fresh
-            if done:
-                break
-        if step == 0:
-            parents = dependency_tree(votes, n, y, sizes, least_information)
-    return maximisation(votes, n, y, sizes, parents, smooth)
+
+    def price(parents: list[int]) -> float:
+        free = sum(2 * (sizes[p] if p >= 0 else 1) * (sizes[k] - 1) for k, p in enumerate(parents))
+        return 0.5 * free * float(np.log(n.sum() + 1))
+
+    def follows(parents: list[int], k: int, p: int) -> bool:
+        while p >= 0 and p != k:
+            p = parents[p]
+        return p == k
+
+    model, likelihood = expectation_maximisation(votes, n, leaning, parents, rounds, smooth)
+    best = likelihood - price(parents)
+    for _ in sizes:
+        tried = []
+        for k in range(len(sizes)):
+            for p in range(len(sizes)):
+                if parents[k] < 0 and k != p and not follows(parents, k, p):
+                    one = [*parents[:k], p, *parents[k + 1 :]]
+                    fit, likelihood = expectation_maximisation(votes, n, leaning, one, rounds, smooth)
+                    tried.append((likelihood - price(one), one, fit))
+        score, one, fit = max(tried, key=lambda x: x[0], default=(best, parents, model))
+        if score <= best:
+            break
+        best, parents, model = score, one, fit
+    return model
 
 
 # ---- the raid bosses and the forms they describe ------------------------------------------------
@@ -186,11 +200,12 @@ def near_shadow(word: str) -> bool:
     return word == SHADOW or (len(word) in (5, 6, 7) and sorted(word) == sorted(SHADOW))
 
 
-def read_boss(name: str | None, form: str | None, costume: str | None, reference: str | None) -> tuple[list[tuple[str, str, str]], list[str], str, str]:
-    """((source, species, variant) readings, variants to try, costume in the name, costume column)."""
+def read_boss(name: str | None, form: str | None, costume: str | None, reference: str | None) -> tuple[list[tuple[str, str, str]], str, str]:
+    """((source, species, variant) readings, costume in the name, costume column)."""
     text = re.sub(r"\s+", " ", name or "").strip()
     text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn")
-    found = COSTUME_TEXT.search(text)
+    tail = max(0, len(text) - 300)  # a costume ends the name
+    found = COSTUME_TEXT.search(text, tail)
     in_name = costume_key(found["costume"]) if found else ""
     rest = text[: found.start()] if found else text
     words = folded(rest).split()
@@ -205,13 +220,11 @@ def read_boss(name: str | None, form: str | None, costume: str | None, reference
         readings.append(("form_only", "", ""))
     if squashed(reference):
         readings.append(("id", squashed(reference), ""))
-    variants = list(dict.fromkeys([v for _, _, v in readings] + [""]))
-    return readings, variants, in_name, costume_key(costume)
+    return readings, in_name, costume_key(costume)
 
 
 READING_SCHEMA = (
-    "boss_id bigint, readings array<struct<source string, species string, variant string>>, variants array<string>, "
-    "in_name string, in_column string"
+    "boss_id bigint, readings array<struct<source string, species string, variant string>>, in_name string, in_column string"
 )
 
 
@@ -220,11 +233,11 @@ def read_bosses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reading = pa.list_(pa.struct([("source", text), ("species", text), ("variant", text)]))
     for b in batches:
         rows = [read_boss(*x) for x in zip(*(c.to_pylist() for c in b.columns[1:]))]
-        columns = list(zip(*rows)) if rows else [[]] * 4
+        columns = list(zip(*rows)) if rows else [[]] * 3
         readings = [[dict(zip(("source", "species", "variant"), r)) for r in x] for x in columns[0]]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(readings, reading), pa.array(columns[1], pa.list_(text)), pa.array(columns[2], text), pa.array(columns[3], text)],
-            names=["boss_id", "readings", "variants", "in_name", "in_column"],
+            [b.column(0), pa.array(readings, reading), pa.array(columns[1], text), pa.array(columns[2], text)],
+            names=["boss_id", "readings", "in_name", "in_column"],
         )
 
 
@@ -243,32 +256,46 @@ def with_keys(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
     return df.mapInArrow(add, schema)
 
 
-def deletions(c: Column) -> Column:
-    """The text and all texts with one character less (from 5 characters on)."""
+#: Texts up to so many characters are found by deletions, longer ones by the signs at either end.
+SHORT, END = 40, 16
+
+
+def edit_keys(c: Column) -> Column:
+    """Keys of which two texts one edit apart share at least one.
+
+    A short text's keys are the text and all texts with one character less (from 5 characters on).
+    An edit in a long text leaves its first or its last characters as they are.
+    """
     shorter = F.transform(
         F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))
     )
-    return F.array_distinct(F.when(F.length(c) >= 5, F.concat(F.array(c), shorter)).otherwise(F.array(c)))
+    ends = F.array(F.concat(F.lit("<"), F.left(c, F.lit(END))), F.concat(F.lit(">"), F.right(c, F.lit(END))))
+    return F.array_distinct(
+        F.when(F.length(c) < 5, F.array(c))
+        .when(F.length(c) < SHORT, F.concat(F.array(c), shorter))
+        .when(F.length(c) > SHORT + 1, ends)
+        .otherwise(F.concat(F.array(c), shorter, ends))
+    )
 
 
 def similar_names(texts: DataFrame, names: DataFrame, most: int = 2) -> DataFrame:
-    """(text, key, distance): names within `most` edits of a text, found by shared deletions.
+    """(text, key, distance): names within `most` edits of a text among those that share an edit key.
 
-    Any two texts one edit apart (a letter replaced, dropped, inserted or two exchanged) share the
-    text or one deletion of it, so an equi-join finds them; no pairs are enumerated.
+    Any two texts one edit apart (a letter replaced, dropped, inserted or two exchanged) share one, so
+    an equi-join finds them; no pairs are enumerated. Two letters exchanged count as one edit.
     """
-    left = texts.select("text", F.explode(deletions(F.col("text"))).alias("_d"))
-    right = names.select("text", "key", F.explode(deletions(F.col("text"))).alias("_d")).withColumnRenamed("text", "_name")
-    close = left.join(right, "_d").select("text", "_name", "key").distinct().withColumn("distance", F.levenshtein("text", "_name"))
+    left = texts.select("text", F.explode(edit_keys(F.col("text"))).alias("_d"))
+    right = names.select("text", "key", F.explode(edit_keys(F.col("text"))).alias("_d")).withColumnRenamed("text", "_name")
+    close = left.join(right, "_d").select("text", "_name", "key").distinct().withColumn("distance", F.levenshtein("text", "_name", most))
     letters = lambda c: F.array_sort(F.split(c, ""))
     swapped = (F.col("distance") == 2) & (F.length("text") == F.length("_name")) & (letters(F.col("text")) == letters(F.col("_name")))
     close = close.withColumn("distance", F.when(swapped, 1).otherwise(F.col("distance")))
-    return close.filter(F.col("distance") <= most).groupBy("text", "key").agg(F.min("distance").alias("distance"))
+    return close.filter(F.col("distance") >= 0).groupBy("text", "key").agg(F.min("distance").alias("distance"))
 
 
 #: Votes by function, each with what it leans to at the start. Category 0 abstains.
 VOTES: dict[str, list[tuple[str, float]]] = {
-    "name": [("abstain", 0), ("other", -3), ("other_variant", -3), ("species_near", 0.5), ("species", 1.5), ("far", 0.5), ("near", 1.5), ("equal", 3)],
+    "name": [("abstain", 0), ("other", -3), ("other_variant", -3), ("beaten", -1.5), ("species_near", 0.5), ("species", 1.5), ("far", 0.5), ("near", 1.5), ("equal", 3)],
     "form": [("abstain", 0), ("other", -1), ("other_variant", -3), ("species", 0.5), ("near", 1), ("equal", 2)],
     "reference": [("abstain", 0), ("other", -0.5), ("near", 1), ("equal", 2)],
     "costume": [("abstain", 0), ("differs", -3), ("agrees", 2)],
@@ -286,6 +313,12 @@ def category(function: str, name: str) -> Column:
     return F.lit([n for n, _ in VOTES[function]].index(name))
 
 
+def strength(columns: list[str]) -> Column:
+    """How far all votes together lean to a match."""
+    leanings = [F.get(F.array(*[F.lit(float(w)) for _, w in categories]), F.col(c)) for c, categories in zip(columns, VOTES.values())]
+    return sum(leanings[1:], leanings[0])
+
+
 def match_forms(bosses: DataFrame, forms: DataFrame, species: DataFrame, least: float = 0.5) -> DataFrame:
     """(boss_id, form_slug, confidence): the form each boss describes, if one is likely enough.
 
@@ -319,19 +352,30 @@ def match_forms(bosses: DataFrame, forms: DataFrame, species: DataFrame, least:
     spoken = readings.filter("species <> ''").withColumnRenamed("species", "text")
     resolved = similar_names(spoken.select("text").distinct(), names)
     hits = salted_join(spoken, resolved, ["text"], F.col("boss_id")).select("boss_id", F.col("key").alias("dex"), "source", "variant", "distance")
-    evidence = cut(hits.groupBy("boss_id", "dex").agg(F.collect_set(F.struct("source", "variant", "distance")).alias("_e")))
+    per_boss = hits.groupBy("boss_id").agg(
+        F.min(F.when(F.col("source") == "name", F.col("distance"))).alias("_closest"), F.max(F.col("source") == "form").alias("_like")
+    )
+    only = readings.filter("source = 'form_only'").select("boss_id", F.col("variant").alias("_only"))
+    evidence = hits.groupBy("boss_id", "dex").agg(F.collect_set(F.struct("source", "variant", "distance")).alias("_e"))
+    evidence = cut(evidence.join(per_boss, "boss_id").join(only, "boss_id", "left"))
 
-    # candidates: forms of a resolved species with a variant and a costume that some reading names
+    # candidates: forms of a resolved species with just the variant and the costume that the texts name
+    def named(source: str) -> Column:
+        mine = F.filter("_e", lambda x: x["source"] == source)
+        return F.array_min(F.transform(mine, lambda x: F.struct(x["distance"], x["variant"] == "", x["variant"].alias("v"))))["v"]
+
+    in_form = F.coalesce(named("form"), F.when(~F.col("_like"), F.col("_only")))
+    variants = F.array_distinct(F.filter(F.array(named("name"), in_form), lambda x: x != ""))
+    variants = F.when(F.size(variants) > 0, variants).otherwise(F.array(F.lit("")))
     mentioned = F.array_distinct(F.filter(F.array("in_name", "in_column"), lambda x: x != ""))
     costumes = F.when(F.size(mentioned) > 0, mentioned).otherwise(F.array(F.lit("")))
     wanted = (
-        evidence.join(read.drop("readings"), "boss_id")
-        .withColumn("variant_key", F.explode("variants"))
+        evidence.join(read.select("boss_id", "in_name", "in_column"), "boss_id")
+        .withColumn("variant_key", F.explode(variants))
         .withColumn("costume_key", F.explode(costumes))
     )
     found = salted_join(wanted, records, ["dex", "variant_key", "costume_key"], F.col("boss_id"))
-    only = readings.filter("source = 'form_only'").select("boss_id", F.col("variant").alias("_only"))
-    found = found.join(only, "boss_id", "left").join(last.select("boss_id", "snapshot", *cps), "boss_id")
+    found = found.join(last.select("boss_id", "snapshot", *cps), "boss_id")
     stats = (
         forms.filter("slug is not null")
         .groupBy("slug", "snapshot")
@@ -356,6 +400,7 @@ def match_forms(bosses: DataFrame, forms: DataFrame, species: DataFrame, least:
     # a name without a variant is silent about it; one with another variant speaks against
     name_vote = (
         F.when(name_other < F.coalesce(F.least(name_same, name_plain), F.lit(9)), category("name", "other_variant"))
+        .when(F.least(name_same, name_plain) > F.col("_closest"), category("name", "beaten"))  # another species' name is closer
         .when(name_same.isNotNull(), F.coalesce(graded("name", name_same), category("name", "far")))
         .when(name_plain == 0, category("name", "species"))
         .when(name_plain.isNotNull(), category("name", "species_near"))
@@ -391,9 +436,8 @@ def match_forms(bosses: DataFrame, forms: DataFrame, species: DataFrame, least:
         F.exists("readings", lambda x: x["source"] == "name").alias("_named"),
         F.exists("readings", lambda x: x["source"] == "id").alias("_referred"),
     )
-    # whether the form field names a variant by itself: no species is like it
-    own = evidence.select("boss_id", F.explode("_e").alias("_x")).filter("_x.source = 'form'").select("boss_id").distinct().withColumn("_like", F.lit(True))
-    found = found.join(flags, "boss_id").join(own, "boss_id", "left").withColumn("_whole_is_variant", formed & F.col("_like").isNull())
+    # the form field names a variant by itself if it is like no species
+    found = found.join(flags, "boss_id").withColumn("_whole_is_variant", formed & ~F.col("_like"))
     voted = found.select(
         "boss_id",
         "slug",
@@ -412,11 +456,13 @@ def match_forms(bosses: DataFrame, forms: DataFrame, species: DataFrame, least:
     rows = [(*map(int, v), float(p)) for v, p in zip(votes, model.posterior(votes) if len(votes) else [])]
     judged = voted.sparkSession.createDataFrame(rows, ", ".join(f"{c} int" for c in columns) + ", confidence double")
     scored = voted.join(F.broadcast(judged), columns)
-    best = scored.groupBy("boss_id").agg(F.max(F.struct("confidence", F.col("v_name"), F.col("v_form"), F.col("v_cp"))).alias("_top"))
+    # of a boss's likely candidates the one with the strongest votes counts
+    likely = scored.filter(F.col("confidence") >= least).withColumn("_strength", strength(columns))
     chosen = (
-        scored.join(best, "boss_id")
-        .filter((F.struct("confidence", "v_name", "v_form", "v_cp") == F.col("_top")) & (F.col("confidence") >= least))
+        likely.groupBy("boss_id", "slug")
+        .agg(F.max(F.struct("_strength", "confidence")).alias("_s"))
         .groupBy("boss_id")
-        .agg(F.min("slug").alias("form_slug"), F.max("confidence").alias("confidence"))
+        .agg(F.min_by(F.struct(F.col("slug"), F.col("_s.confidence").alias("confidence")), F.struct(-F.col("_s._strength"), -F.col("_s.confidence"), F.col("slug"))).alias("_c"))
+        .select("boss_id", F.col("_c.slug").alias("form_slug"), F.col("_c.confidence").alias("confidence"))
     )
     return chosen
