@@ -44,6 +44,10 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(votes), -500, 500)))
 
 
+#: Sum of leanings from which on a pattern of votes that don't contradict each other is clear.
+CLEAR = 3.0
+
+
 def monotone(ratios: np.ndarray, weights: np.ndarray, leaning: np.ndarray) -> np.ndarray:
     """The closest ratios (weighted) that don't fall where the leaning rises, by pooling violators."""
     order = np.argsort(leaning, kind="stable")
@@ -85,12 +89,17 @@ def expectation_maximisation(
     votes: np.ndarray, n: np.ndarray, leaning: list[list[float]], parents: list[int], rounds: int, smooth: float
 ) -> tuple[LabelModel, float]:
     """The model for given dependencies, and the log likelihood of the votes under it."""
+    said = np.stack([np.array(leaning[k], float)[votes[:, k]] for k in range(len(leaning))], 1)
     # a function that follows another has no say of its own at the start
-    lean = sum((np.array(leaning[k])[votes[:, k]] for k, p in enumerate(parents) if p < 0), np.zeros(len(votes)))
+    lean = said[:, [p < 0 for p in parents]].sum(1)
     y = 1 / (1 + np.exp(-lean))
+    # patterns whose votes all point one way stay on that side, so that the two sides mean match and
+    # mismatch; without that they may split along anything that many candidates share
+    clear = np.where((said.sum(1) >= CLEAR) & (said >= 0).all(1), 1.0, np.where((said.sum(1) <= -CLEAR) & (said <= 0).all(1), 0.0, np.nan))
+    y = np.where(np.isnan(clear), y, clear)
     for _ in range(rounds):
         model = maximisation(votes, n, y, leaning, parents, smooth)
-        fresh = model.posterior(votes)
+        fresh = np.where(np.isnan(clear), model.posterior(votes), clear)
         done = np.abs(fresh - y).max() < 1e-6
         y = fresh
         if done:
