@@ -49,9 +49,21 @@ def is_data_map(field: str) -> bool:
     return re.sub(r"[^a-z]", "", field.lower()) in ("names", "counter", "counters")
 
 
-def hash64(*parts: Any) -> int:
-    text = json.dumps(parts, sort_keys=True, ensure_ascii=False)
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+MASK = (1 << 64) - 1
+
+
+def hash64(v: Any) -> int:
+    """Hash of a value by its JSON text, the same in every process."""
+    text = v if isinstance(v, str) else json.dumps(v, sort_keys=True, ensure_ascii=False)
+    kind = 0x9E3779B97F4A7C15 if isinstance(v, str) else 0
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") ^ kind
+
+
+def mixed(a: int, b: int) -> int:
+    """Hash of a pair of hashes, as a signed 64 bit number."""
+    h = ((a * 0x9E3779B97F4A7C15) ^ b) & MASK
+    h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & MASK
+    return (h ^ (h >> 29)) - (1 << 63)
 
 
 def record_groups(endpoint: str, doc: Any) -> Iterator[tuple[str, str, list[dict]]]:
@@ -86,18 +98,19 @@ def profile(endpoint: str, doc: Any) -> Iterator[tuple]:
     groups = list(record_groups(endpoint, doc))
     identities = identities_of([r for _, _, records in groups for r in records])
     for prefix, pooled_prefix, records in groups:
-        values: dict[tuple[str, str, str], list[tuple[dict, Any]]] = defaultdict(list)
+        values: dict[tuple[str, str, str], list[tuple[list[int], Any]]] = defaultdict(list)
 
-        def walk(parent: str, pooled: str, holder: dict, record: dict) -> None:
+        def walk(parent: str, pooled: str, holder: dict, who: list[int]) -> None:
             for k, v in holder.items():
-                values[parent, k, pooled].append((record, v))
+                values[parent, k, pooled].append((who, v))
                 if isinstance(v, dict) and not is_data_map(k):
-                    walk(f"{parent}.{k}" if parent else k, f"{pooled}.{k}" if pooled else k, v, record)
+                    walk(f"{parent}.{k}" if parent else k, f"{pooled}.{k}" if pooled else k, v, who)
 
         for r in records:
-            walk(prefix, pooled_prefix, r, r)
+            walk(prefix, pooled_prefix, r, [hash64(r[i]) for i in identities])
         for (parent, field, pooled), seen in values.items():
-            filled = [(r, v) for r, v in seen if v is not None]
+            filled = [(who, v) for who, v in seen if v is not None]
+            hashed = [(who, hash64(v)) for who, v in filled]
             yield (
                 f"{parent}.{field}" if parent else field,
                 parent,
@@ -106,9 +119,9 @@ def profile(endpoint: str, doc: Any) -> Iterator[tuple]:
                 sorted({json_type(v) for _, v in filled}),
                 len(seen),
                 len(filled),
-                sorted({hash64(v) for _, v in filled})[:SKETCH_SIZE],
+                sorted({mixed(0, h) for _, h in hashed})[:SKETCH_SIZE],
                 identities,
-                [sorted({hash64(r[i], v) for r, v in filled})[:SKETCH_SIZE] for i in identities],
+                [sorted({mixed(who[i], h) for who, h in hashed})[:SKETCH_SIZE] for i in range(len(identities))],
             )
 
 
@@ -260,20 +273,32 @@ def compare(old: dict[str, dict], new: dict[str, dict]) -> list[tuple[str, str,
 CHANGE_SCHEMA = "payload_id bigint, field_path string, change_kind string, new_path string, pooled string"
 
 
-def compare_group(rows: pa.Table) -> pa.Table:
-    """Both profiles of one pair of files; as many rows as the two files have fields."""
-    sides: list[dict[str, dict]] = [{}, {}]
-    pair = 0
-    for r in rows.to_pylist():
-        pair = r["pair"]
-        if r["path"] is not None:
-            sides[r["side"]][r["path"]] = r
-    changes = [(pair, *c, (sides[0].get(c[0]) or sides[1][c[0]])["pooled"]) for c in compare(*sides)]
-    columns = zip(*changes) if changes else [[]] * 5
-    return pa.table(
-        [pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.string()] * 4])],
-        names=[x.split()[0] for x in CHANGE_SCHEMA.split(", ")],
-    )
+def compare_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Changes of every pair of files; rows come sorted by pair, and one pair is held at a time."""
+    names = [x.split()[0] for x in CHANGE_SCHEMA.split(", ")]
+    out: list[tuple] = []
+    pair, sides = None, ({}, {})
+
+    def close() -> None:
+        if pair is not None:
+            out.extend((pair, *c, (sides[0].get(c[0]) or sides[1][c[0]])["pooled"]) for c in compare(*sides))
+
+    def flush() -> pa.RecordBatch:
+        columns = zip(*out) if out else [[]] * 5
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.string()] * 4])], names=names)
+        out.clear()
+        return batch
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["pair"] != pair:
+                close()
+                pair, sides = r["pair"], ({}, {})
+            if r["path"] is not None:
+                sides[r["side"]][r["path"]] = r
+        yield flush()
+    close()
+    yield flush()
 
 
 def schema_changes(files: DataFrame) -> DataFrame:
@@ -299,7 +324,8 @@ def schema_changes(files: DataFrame) -> DataFrame:
             )
         ).alias("_s"),
     ).select("pair", "_s.payload_id", "_s.side")
-    return sides.join(profiles, "payload_id").groupBy("pair").applyInArrow(compare_group, CHANGE_SCHEMA)
+    both = sides.join(profiles, "payload_id").repartition("pair").sortWithinPartitions("pair")
+    return both.mapInArrow(compare_batches, CHANGE_SCHEMA)
 
 
 def canonical_names(changes: DataFrame, limit: int = 20_000) -> dict[tuple[str, str], str]:

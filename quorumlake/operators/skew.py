@@ -21,10 +21,11 @@ def salted_join(
     """Equi-join in which every key of `large` is spread over `salts` tasks by the column `spread`.
 
     `small` has few rows a key (one, usually) and is replicated `salts` times. how: inner, left,
-    left_semi or left_anti. Nulls in keys match nothing.
+    left_semi or left_anti. Nulls in keys match nothing. The join is a sort-merge join by hint:
+    runtime sizes are taken before the replication, so a broadcast could be many times its threshold.
     """
     left = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
