@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
@@ -31,11 +32,35 @@ RENAME_SCORE, VALUE_SHARE = 0.5, 0.7
 IDENTITIES = 4
 
 PROFILE_SCHEMA = (
-    "payload_id bigint, path string, parent string, field string, pooled string, types array<string>, "
-    "present bigint, filled bigint, sketch array<bigint>, identities array<string>, aligned array<array<bigint>>"
+    "payload_id bigint, path string, parent string, field string, pooled string, types string, "
+    "filled bigint, identities string, sketch binary, aligned binary"
 )
 
 
+#: What parts names in a list that travels as one text.
+PART = "\x1f"
+
+
+def packed(sketches: list[list[int]]) -> bytes:
+    """Sketches as bytes: for each its length and its hashes."""
+    out = array("q")
+    for s in sketches:
+        out.append(len(s))
+        out.extend(s)
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> list[set[int]]:
+    numbers = array("q")
+    numbers.frombytes(data)
+    out, at = [], 0
+    while at < len(numbers):
+        n = numbers[at]
+        out.append(set(numbers[at + 1 : at + 1 + n]))
+        at += 1 + n
+    return out
+
+
 def json_type(v: Any) -> str | None:
     if v is None:
         return None
@@ -116,12 +141,11 @@ def profile(endpoint: str, doc: Any) -> Iterator[tuple]:
                 parent,
                 field,
                 pooled,
-                sorted({json_type(v) for _, v in filled}),
-                len(seen),
+                PART.join(sorted({json_type(v) for _, v in filled})),
                 len(filled),
-                sorted({mixed(0, h) for _, h in hashed})[:SKETCH_SIZE],
-                identities,
-                [sorted({mixed(who[i], h) for who, h in hashed})[:SKETCH_SIZE] for i in range(len(identities))],
+                PART.join(identities),
+                packed([sorted({mixed(0, h) for _, h in hashed})[:SKETCH_SIZE]]),
+                packed([sorted({mixed(who[i], h) for who, h in hashed})[:SKETCH_SIZE] for i in range(len(identities))]),
             )
 
 
@@ -129,8 +153,7 @@ def profile_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """(payload_id, endpoint, payload) to field profiles. A file that parses but has no field gives
     one row with a null path, so that it counts as a delivery."""
     names = [re.match(r"\w+", x).group() for x in PROFILE_SCHEMA.split(", ")]
-    text, longs = pa.string(), pa.list_(pa.int64())
-    types = [pa.int64(), text, text, text, text, pa.list_(text), pa.int64(), pa.int64(), longs, pa.list_(text), pa.list_(longs)]
+    types = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.binary(), pa.binary()]
     for batch in batches:
         out = []
         for pid, endpoint, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -138,7 +161,7 @@ def profile_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 rows = list(profile((endpoint or "").strip().lower(), parse_json(payload)))
             except ValueError:
                 continue
-            out += [(pid, *r) for r in rows] or [(pid, *[None] * 4, [], 0, 0, [], [], [])]
+            out += [(pid, *r) for r in rows] or [(pid, *[None] * 4, "", 0, "", b"", b"")]
         columns = zip(*out) if out else [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
@@ -189,11 +212,6 @@ def name_similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, x, y, autojunk=False).ratio()
 
 
-def overlap(a: Iterable[int], b: Iterable[int]) -> float:
-    a, b = set(a), set(b)
-    return len(a & b) / min(len(a), len(b)) if a and b else 0.0
-
-
 def value_similarity(pairs: list[tuple[dict, dict]]) -> float:
     """How far the values carry over, over all places in which the pair of fields occurs.
 
@@ -201,14 +219,15 @@ def value_similarity(pairs: list[tuple[dict, dict]]) -> float:
     """
     shared = total = 0.0
     for old, new in pairs:
-        names = [n for n in old["identities"] if n in list(new["identities"])]
-        by_record = [
-            (set(old["aligned"][list(old["identities"]).index(n)]), set(new["aligned"][list(new["identities"]).index(n)]))
-            for n in names
-        ] or [(set(old["sketch"]), set(new["sketch"]))]
+        ours, theirs = old["identities"].split(PART), new["identities"].split(PART)
+        names = [n for n in ours if n and n in theirs]
+        if names:
+            a_all, b_all = unpacked(old["aligned"]), unpacked(new["aligned"])
+            by_record = [(a_all[ours.index(n)], b_all[theirs.index(n)]) for n in names]
+        else:
+            by_record = [(unpacked(old["sketch"])[0], unpacked(new["sketch"])[0])]
         a, b = max(by_record, key=lambda x: len(x[0] & x[1]))
-        weight = min(len(a), len(b))
-        shared, total = shared + len(a & b), total + weight
+        shared, total = shared + len(a & b), total + min(len(a), len(b))
     return shared / total if total else 0.0
 
 
@@ -238,7 +257,7 @@ def compare(old: dict[str, dict], new: dict[str, dict]) -> list[tuple[str, str,
                 if a is None or b is None:
                     gone[parent][0 if b is None else 1].append(path)
                 elif a["filled"] and b["filled"]:
-                    if set(a["types"]) != set(b["types"]):
+                    if a["types"] != b["types"]:
                         changes.append((path, "retyped", ""))
                     elif path in children:
                         deeper.append(path)
@@ -257,7 +276,7 @@ def compare(old: dict[str, dict], new: dict[str, dict]) -> list[tuple[str, str,
             for a in added:
                 pairs = evidence[old[r]["pooled"], old[r]["field"], new[a]["field"]]
                 name, value = name_similarity(old[r]["field"], new[a]["field"]), value_similarity(pairs)
-                same_types = set(old[r]["types"]) == set(new[a]["types"]) or not (old[r]["filled"] and new[a]["filled"])
+                same_types = old[r]["types"] == new[a]["types"] or not (old[r]["filled"] and new[a]["filled"])
                 score = VALUE_SHARE * value + (1 - VALUE_SHARE) * name
                 if name == 1 and same_types:
                     score = max(score, RENAME_SCORE)

@@ -233,7 +233,7 @@ def test_whole_table_equals_a_plain_walk(spark, small):
 
 
 def profiled(endpoint, doc):
-    names = ["path", "parent", "field", "pooled", "types", "present", "filled", "sketch", "identities", "aligned"]
+    names = ["path", "parent", "field", "pooled", "types", "filled", "identities", "sketch", "aligned"]
     return {r[0]: dict(zip(names, r)) for r in drift.profile(endpoint, doc)}
 
 
