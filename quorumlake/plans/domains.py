@@ -173,3 +173,21 @@ def badges_table(documents: DataFrame) -> DataFrame:
         F.try_variant_get("record", "$.rank", "bigint").alias("rank"), F.to_json(V.field(F.col("record"), "targets")).alias("targets"),
     )
     return conform(rows, SCHEMAS["badges"])
+
+
+def template_table(spark: SparkSession, source: Source, key: str, schema: str, defaults: Mapping[str, Column] | None = None) -> DataFrame:
+    """A domain table whose columns are just a template's attributes (bosses, battles, quests, days, items).
+
+    Missing attributes are null, given defaults fill nulls; one row per record, keys may be null.
+    """
+    rows = conform(source.rows(spark, key), SCHEMAS.get(schema, schema))
+    for c, value in (defaults or {}).items():
+        rows = rows.withColumn(c, F.coalesce(F.col(c), value))
+    return rows
+
+
+def leagues_table(resolved: DataFrame) -> DataFrame:
+    """One row per league entity, from resolved values."""
+    wide = resolved.filter(F.col("entity_id").startswith("pvp_league_")).groupBy("entity_id").pivot("attribute", ["cp_limit", "meta"]).agg(F.first("value_json", ignorenulls=True))
+    text = lambda c: V.as_text(F.try_parse_json(F.col(c))).alias(c)
+    return conform(wide.select(F.col("entity_id").alias("league_id"), text("cp_limit"), text("meta")), SCHEMAS["pvp_leagues"])
