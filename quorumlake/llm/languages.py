@@ -88,6 +88,27 @@ def gram_hashes(lines: Sequence[str], grams: Sequence[int]) -> tuple[np.ndarray,
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
 
 
+#: Characters that are turned into n-grams at a time; bounds a worker's memory however long the texts are.
+CHUNK_CHARS = 1 << 20
+
+
+def chunked(lines: Sequence[str], overlap: int, size: int = CHUNK_CHARS) -> Iterator[tuple[list[str], list[int]]]:
+    """(pieces, line numbers) of at most about `size` characters each. A longer line goes in pieces that
+    overlap, so that none of its n-grams is lost."""
+    pieces, owners, total = [], [], 0
+    for i, line in enumerate(lines):
+        for at in range(0, max(1, len(line) - overlap), size):
+            piece = line[at : at + size + overlap]
+            if pieces and total + len(piece) > size:
+                yield pieces, owners
+                pieces, owners, total = [], [], 0
+            pieces.append(piece)
+            owners.append(i)
+            total += len(piece) + 1
+    if pieces:
+        yield pieces, owners
+
+
 @dataclass
 class LanguageFilters:
     """The bit-sliced filters. slots: a mask of languages each; fill: each language's share of set slots."""
@@ -118,17 +139,18 @@ class LanguageFilters:
 
     def scores(self, lines: Sequence[str]) -> np.ndarray:
         """Corrected popcounts, a row per (plain) line and a column per language."""
-        hashes, number = gram_hashes(lines, self.grams)
-        mask = None
-        for at in self.positions(hashes):
-            mask = self.slots[at] if mask is None else mask & self.slots[at]
-        total = np.bincount(number, minlength=len(lines))[: len(lines)].astype(float)
-        out = np.zeros((len(lines), len(self.languages)))
+        out, total = np.zeros((len(lines), len(self.languages))), np.zeros(len(lines))
+        for pieces, owners in chunked(lines, max(self.grams) - 1):
+            hashes, number = gram_hashes(pieces, self.grams)
+            owner = np.array(owners, np.int64)[number] if len(number) else number
+            mask = None
+            for at in self.positions(hashes):
+                mask = self.slots[at] if mask is None else mask & self.slots[at]
+            total += np.bincount(owner, minlength=len(lines))
+            for b in range(len(self.languages)):
+                out[:, b] += np.bincount(owner, weights=(mask >> b) & 1, minlength=len(lines))
         rate = self.false_rate()
-        for b in range(len(self.languages)):
-            hit = np.bincount(number, weights=((mask >> b) & 1).astype(float), minlength=len(lines))[: len(lines)]
-            out[:, b] = np.maximum(0, (hit - rate[b] * total) / (1 - rate[b]))
-        return out
+        return np.maximum(0, (out - rate * total[:, None]) / (1 - rate))
 
 
 def ranked(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,12 +201,13 @@ def judge_text(scores: np.ndarray) -> tuple[int, float, list[tuple[int, float]]]
 
 def gram_counts(lines: Sequence[str], labels: np.ndarray, n_languages: int, grams: Sequence[int]) -> list[tuple[int, int, int]]:
     """(hash as signed 64 bit, language, count) over lines with a label (-1: none)."""
-    hashes, number = gram_hashes(lines, grams)
-    language = labels[number] if len(number) else number
     out = []
-    for b in range(n_languages):
-        keys, counts = np.unique(hashes[language == b], return_counts=True)
-        out += zip(keys.view(np.int64).tolist(), [b] * len(keys), counts.tolist())
+    for pieces, owners in chunked(lines, max(grams) - 1):
+        hashes, number = gram_hashes(pieces, grams)
+        language = labels[np.array(owners, np.int64)[number]] if len(number) else number
+        for b in range(n_languages):
+            keys, counts = np.unique(hashes[language == b], return_counts=True)
+            out += zip(keys.view(np.int64).tolist(), [b] * len(keys), counts.tolist())
     return out
 
 
@@ -217,15 +240,17 @@ def fit(labelled: DataFrame, languages: list[str] = LANGUAGES, sample_rows: int
 
         def count(batches: Iterable[pa.RecordBatch], filters: LanguageFilters | None = filters) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                lines, labels = [], []
-                for text, code in zip(*(c.to_pylist() for c in batch.columns)):
-                    own = [plain(x) for x in lines_of(text)]
-                    lines += own
-                    labels += [languages.index(code)] * len(own)
-                known = np.array(labels, np.int64) if filters is None else judge_lines(filters.scores(lines)) if lines else np.zeros(0, np.int64)
-                found = gram_counts(lines, known, len(languages), GRAMS)
-                columns = zip(*found) if found else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "b", "n"])
+                texts, codes = (c.to_pylist() for c in batch.columns)
+                for a in range(0, len(texts), 500):
+                    lines, labels = [], []
+                    for text, code in zip(texts[a : a + 500], codes[a : a + 500]):
+                        own = [plain(x) for x in lines_of(text)]
+                        lines += own
+                        labels += [languages.index(code)] * len(own)
+                    known = np.array(labels, np.int64) if filters is None else judge_lines(filters.scores(lines)) if lines else np.zeros(0, np.int64)
+                    found = gram_counts(lines, known, len(languages), GRAMS)
+                    columns = zip(*found) if found else [[]] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "b", "n"])
 
         counts = cut(sample.mapInArrow(count, "h bigint, b bigint, n bigint").groupBy("h", "b").agg(F.sum("n").alias("n")))
         filters = LanguageFilters.build(languages, *bits_of(counts, len(languages), LEAST_COUNT, LEAST_SHARE))

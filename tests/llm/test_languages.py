@@ -44,6 +44,18 @@ def test_ngrams_do_not_cross_lines():
     assert len(G.gram_hashes([], (3,))[0]) == len(G.gram_hashes(["ab"], (3,))[0]) == 0
 
 
+def test_chunks_lose_no_ngram():
+    rnd = random.Random(3)
+    lines = ["".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (5, 0, 40, 3, 200)]
+    whole = {(h, i) for h, i in zip(*(x.tolist() for x in G.gram_hashes(lines, (3, 5))))}
+    parts = set()
+    for pieces, owners in G.chunked(lines, 4, 16):
+        assert sum(map(len, pieces)) <= 16 + 4 or len(pieces) == 1
+        h, i = G.gram_hashes(pieces, (3, 5))
+        parts |= {(x, owners[k]) for x, k in zip(h.tolist(), i.tolist())}
+    assert parts == whole
+
+
 WORDS = {
     "en": "the of and with for that has been this from they would which about other their could when were under".split(),
     "de": "der die und mit nicht wurde ist auch eine noch nach bei wird sich über durch werden zwischen gegen schon".split(),
