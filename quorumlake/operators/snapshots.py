@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quorumlake.session import cut
 
 
+#: Up to so many snapshots (two instants each) are sent to every executor.
+MOST_SNAPSHOTS = 100_000
+
+
 def last_loaded(df: DataFrame, key: Column, snapshot: Column, loaded: Column, content: dict[str, Column]) -> DataFrame:
     """One row (record_key, snapshot, digest) per key and snapshot: the row loaded last.
 
@@ -37,7 +41,10 @@ def snapshot_changes(records: DataFrame) -> DataFrame:
     # one row per delivery; the only window without a key, over as many rows as there are snapshots
     deliveries = records.select("snapshot").distinct().withColumn("previous", F.lag("snapshot").over(Window.orderBy("snapshot")))
     deliveries = cut(deliveries.filter("previous is not null"))
-    new = records.join(deliveries.select("snapshot"), "snapshot").select("snapshot", "record_key", "digest")
+    # a snapshot holds a large share of all records, so records shouldn't be shuffled by it
+    if deliveries.count() <= MOST_SNAPSHOTS:
+        deliveries = F.broadcast(deliveries)
+    new = records.join(deliveries.drop("previous"), "snapshot").select("snapshot", "record_key", "digest")
     old = (
         records.withColumnRenamed("snapshot", "previous")
         .join(deliveries, "previous")

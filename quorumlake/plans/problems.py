@@ -151,15 +151,14 @@ def p4_cascade(spark: SparkSession, d: str) -> DataFrame:
     parents = {r.parent: p for r, p in refs}
     forms = refs[0][0].rows
     parents["forms"] = forms.select("period", F.col("record_key").alias("key"))
-    last = forms.agg(F.max("period").alias("_last"))
+    last = F.lit(forms.agg(F.max("period")).first()[0]).cast("timestamp_ntz")  # one value
     entity = norm_id(F.col("entity_id"))
     log = (
         table(spark, d, "change_history")
         .select(entity.alias("record_key"))
         .filter(F.col("record_key").startswith("forms:"))
         .distinct()
-        .crossJoin(F.broadcast(last))  # one row
-        .select(F.col("_last").alias("period"), "record_key", F.col("_last").alias("ref_period"), F.expr("substring(record_key, 7)").alias("ref"))
+        .select(last.alias("period"), "record_key", last.alias("ref_period"), F.expr("substring(record_key, 7)").alias("ref"))
     )
     found = orphans.cascade([*[r for r, _ in refs], orphans.Reference("change_history", "forms", log)], parents)
     return found.select("table_name", period_of(F.col("period")).alias("period"), "record_key", "orphan_kind", "depth").distinct()
