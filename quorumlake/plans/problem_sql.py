@@ -116,7 +116,60 @@ P4 = " union all ".join(
     ]
 )
 
+def members(array: str, source: str) -> str:
+    """Each element of a JSON array with its position from 0."""
+    return f"unnest(from_json({array}, '[\"json\"]')) as r, generate_subscripts(from_json({array}, '[\"json\"]'), 1) - 1 as pos from ({source})"
+
+
+def files(endpoint: str) -> str:
+    return f"select payload_id, payload from raw_payloads where endpoint = '{endpoint}' and json_valid(payload)"
+
+
+RAID = f"""(select payload_id, tier, {members('list', f"""
+  select payload_id, tier, json_extract(payload, '$.currentList."' || tier || '"') as list from (
+    select payload_id, payload, unnest(json_keys(payload, '$.currentList')) as tier from ({files('raidboss')}) where json_type(payload, '$.currentList') = 'OBJECT')""")})"""
+MEGA = f"(select payload_id, {members('payload', files('mega_pokemon'))})"
+TYPES = f"(select payload_id, {members('payload', files('types'))})"
+
+
+def given(*paths: str) -> str:
+    """The first of several fields that isn't null."""
+    return "coalesce(" + ", ".join(f"nullif(json_extract(r, '$.{p}'), 'null')" for p in paths) + ")"
+
+
+def bound(v: str, i: int, name: str) -> str:
+    one = (
+        f"case json_type({v}) when 'ARRAY' then json_extract_string({v}, '$[{i}]') when 'OBJECT' then json_extract_string({v}, '$.{name}') "
+        f"when 'VARCHAR' then nullif(split_part(json_extract_string({v}, '$'), '-', {i + 1}), '') end"
+    )
+    return f"cast(cast({one} as double) as bigint)"
+
+
+CP = " union all ".join(
+    f"select payload_id, tier || '/' || pos as parent_key, '{child}' as child_key, {bound(given(*names), i, end)} as cp from {RAID}"
+    for names, ends in ((("cpRange", "cp_range"), ("min", "max")), (("cpRangeBoost", "boostedCpRange"), ("boosted_min", "boosted_max")))
+    for i, (child, end) in enumerate(zip(ends, ("min", "max")))
+)
+STATS = " union all ".join(
+    f"select payload_id, cast(pos as varchar) as parent_key, '{stat}' as child_key, cast(cast(json_extract_string({v}, case json_type({v}) when 'OBJECT' then '$.value' else '$' end) as double) as bigint) as stat from {MEGA}"
+    for stat, v in (
+        ("base_attack", given("stats.base_attack", "stats.baseAttack")), ("base_defense", given("stats.base_defense")), ("base_stamina", given("stats.base_stamina", "stats.base_hp"))
+    )
+)
+WEATHER = given("weatherBoost.names")
+P6 = f"""
+select payload_id, 'boss' as child_kind, tier as parent_key, cast(pos as varchar) as child_key from {RAID} where json_type(r) = 'OBJECT'
+union all select payload_id, 'boss_name', p, k from (
+  select payload_id, tier || '/' || pos as p, r, unnest(json_keys(r, '$.names')) as k from {RAID}) where json_type(r, '$.names."' || k || '"') <> 'NULL'
+union all select payload_id, 'boss_cp', parent_key, child_key from ({CP}) where cp is not null
+union all select payload_id, 'weather_name', json_extract_string(r, '$.type'), 'English' from {TYPES} where json_type({WEATHER}) = 'VARCHAR'
+union all select payload_id, 'weather_name', t, k from (
+  select payload_id, json_extract_string(r, '$.type') as t, r, unnest(json_keys({WEATHER})) as k from {TYPES} where json_type({WEATHER}) = 'OBJECT'
+) where json_type(r, '$.weatherBoost.names."' || k || '"') <> 'NULL'
+union all select payload_id, 'mega_stat', parent_key, child_key from ({STATS}) where stat is not null"""
+
 ORACLE_SQL = {
+    "p6_found": P6,
     "p1_found": P1,
     "p3_found": P3,
     "p3_summary": f"select table_name, period, change_kind, count(*) as n_records from ({P3}) group by all",
