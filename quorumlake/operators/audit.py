@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.operators.profiling import all_paths
+from quorumlake.sources.templates import Template
+
 BUCKETS = ["matched", "overridden", "collision", "gap", "unmapped"]
 
 
@@ -83,3 +88,34 @@ def markdown(rows: list[dict], title: str) -> str:
     lines = ["| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
     lines += ["| " + " | ".join(str(r[h]) for h in head) + " |" for r in rows]
     return f"# {title}\n\n" + "\n".join(lines) + "\n"
+
+
+def mapped_fields(t: Template) -> list[tuple[str, str]]:
+    """(path within a record, attribute) of all that a template reads."""
+    out = [(m["source_field"], a) for a, m in t.field_mappings.items()]
+    out += [(m["fallback_field"], a) for a, m in t.field_mappings.items() if m.get("fallback_field")]
+    for s in t.sub_records:
+        out += [(f"{s.list_field}.{m['source_field']}", a) for a, m in s.field_mappings.items()]
+    return out
+
+
+def method_mismatch(walked: set[str], inferred: set[str], collapsed: set[str]) -> list[str]:
+    """Paths that a walk over all records finds and schema inference doesn't, but for what lies at or
+    below a path that inference leaves dynamic. Both sets are as large as a schema."""
+    parents = lambda p: {p} | {p[:i] for i, c in enumerate(p) if c == "."}
+    return sorted(p for p in walked - inferred if not parents(p) & collapsed)
+
+
+def coverage_report(endpoints: Mapping[str, tuple[DataFrame, Template]], canonical: DataFrame, claimed: DataFrame) -> list[dict]:
+    """Per endpoint the number of fields in each tier, and the fields that reach nothing."""
+    rows = []
+    for name, (records, t) in sorted(endpoints.items()):
+        spark = records.sparkSession
+        fields = spark.createDataFrame([(p,) for p in sorted(all_paths(records))], "path string")
+        tiers = coverage_tiers(fields, spark.createDataFrame(mapped_fields(t), "path string, attribute string"), canonical, claimed).collect()
+        count = lambda x: sum(r.tier == x for r in tiers)  # noqa: B023, E731
+        rows.append(
+            {"endpoint": name, "canonical": count("CANONICAL"), "claims_only": count("CLAIMS_ONLY"), "missing": count("MISSING"),
+             "missing_fields": ", ".join(sorted(r.path for r in tiers if r.tier == "MISSING"))}
+        )
+    return rows

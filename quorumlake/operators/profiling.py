@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
+from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions import variant as V
 from quorumlake.functions.transforms import shape_fingerprint
+from quorumlake.operators.extract import unwrap
+from quorumlake.sources.documents import latest_snapshot, read_document
+from quorumlake.sources.templates import template_from
 
 SAMPLE = 200
 
@@ -41,6 +46,11 @@ def detect_shape(payload: Any, max_depth: int = 4) -> dict[str, Any] | None:
     return {"path": path, "mode": mode, "n_records": -n}
 
 
+def sampled(records: DataFrame, sample: int | None) -> DataFrame:
+    """The first records of a file by pos, or all of them with None."""
+    return records if sample is None else records.orderBy("pos").limit(sample)
+
+
 def record_fields(records: DataFrame) -> DataFrame:
     """(pos, path, value) of every field, nested ones one level down with a dot."""
     top = records.select("pos", F.explode(V.entries(F.col("record"))).alias("path", "value"))
@@ -51,9 +61,9 @@ def record_fields(records: DataFrame) -> DataFrame:
 def catalog_fields(records: DataFrame, sample: int | None = SAMPLE) -> DataFrame:
     """(path, n_present, types, example): presence, types by name and the first non-null example.
 
-    Looks at the records with pos below `sample`, or all of them with None.
+    Looks at the first `sample` records, or all of them with None.
     """
-    rows = record_fields(records if sample is None else records.filter(F.col("pos") < sample))
+    rows = record_fields(sampled(records, sample))
     rows = rows.select("pos", "path", V.kind(F.col("value")).alias("_t"), V.canonical(F.col("value")).alias("_x"))
     return rows.groupBy("path").agg(
         F.count(F.lit(1)).alias("n_present"),
@@ -64,7 +74,7 @@ def catalog_fields(records: DataFrame, sample: int | None = SAMPLE) -> DataFrame
 
 def rank_identities(records: DataFrame, sample: int | None = SAMPLE) -> DataFrame:
     """(path, n_unique, rank): text or number fields that all records have, the most distinct first."""
-    rows = records if sample is None else records.filter(F.col("pos") < sample)
+    rows = sampled(records, sample)
     total = rows.count()
     top = rows.select("pos", F.explode(V.entries(F.col("record"))).alias("path", "value"))
     scalar = top.filter(V.kind(F.col("value")).isin("string", "number")).select("pos", "path", V.canonical(F.col("value")).alias("_x"))
@@ -75,7 +85,7 @@ def rank_identities(records: DataFrame, sample: int | None = SAMPLE) -> DataFram
 
 def gender_signals(records: DataFrame, sample: int | None = SAMPLE) -> DataFrame:
     """(signal_type, path): boolean fields named like female, text fields with such values."""
-    rows = record_fields(records if sample is None else records.filter(F.col("pos") < sample))
+    rows = record_fields(sampled(records, sample))
     kind = V.kind(F.col("value"))
     signal = F.when((kind == "boolean") & F.col("path").rlike("(?i)female"), "boolean_field").when(
         (kind == "string") & V.as_text(F.col("value")).rlike("(?i)female"), "value_pattern"
@@ -128,6 +138,23 @@ def all_paths(records: DataFrame) -> set[str]:
     return paths_of_schema(found["s"]) if found and found["s"] else set()
 
 
+def profile_source(spark: SparkSession, root: str | Path, source: str, previous: Mapping[str, Mapping[str, Any]] | None = None) -> dict[str, dict[str, Any]]:
+    """Template drafts for every JSON document of a source's last snapshot that holds records, by endpoint."""
+    snapshot = latest_snapshot(root, source)
+    drafts = {}
+    for p in sorted((Path(root) / source / snapshot).glob("*.json")) if snapshot else []:
+        doc = read_document(spark, root, source, p.stem, snapshot)
+        text = doc.select("text").first()
+        try:
+            shape = detect_shape(json.loads(text["text"])) if text else None
+        except ValueError:
+            shape = None
+        if shape and not p.name.startswith("."):
+            t = template_from({"source_key": source, "endpoint": p.stem, "record_extraction": {"unwrap_path": shape["path"], "iterate_mode": shape["mode"]}})
+            drafts[p.stem] = draft_template(unwrap(doc, t), source, p.stem, shape, (previous or {}).get(p.stem))
+    return drafts
+
+
 def draft_template(records: DataFrame, source_key: str, endpoint: str, shape: Mapping[str, Any], previous: Mapping[str, Any] | None = None) -> dict[str, Any]:
     """A template for a source's records, ready to be written as YAML.
 

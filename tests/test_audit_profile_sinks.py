@@ -222,3 +222,23 @@ def test_core_does_not_import_the_text_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "quorumlake.llm" not in p.read_text("utf-8"), p
+
+
+def test_coverage_report_and_method_mismatch(spark):
+    r = records(spark, {"name": "a", "id": 1, "debug": {"x": 1}}, {"name": "b", "id": 2})
+    t = templates.template_from({"source_key": "s", "endpoint": "e", "field_mappings": {"title": {"source_field": "name"}, "n": {"source_field": "id"}}})
+    a = lambda *x: spark.createDataFrame([(i,) for i in x], "attribute string")
+    (row,) = audit.coverage_report({"s/e": (r, t)}, a("title"), a("n"))
+    assert row == {"endpoint": "s/e", "canonical": 1, "claims_only": 1, "missing": 2, "missing_fields": "debug, debug.x"}
+    assert audit.method_mismatch({"a", "a.b", "c", "m.x.y", "m"}, {"a", "m"}, {"m"}) == ["a.b", "c"]
+
+
+def test_profile_of_a_whole_source(spark, tmp_path):
+    write(tmp_path / "s/2026-01-01T000000Z/one.json", '[{"k": 1, "v": "x"}, {"k": 2, "v": "x"}]')
+    write(tmp_path / "s/2026-01-01T000000Z/two.json", '{"list": {"a": [{"k": 1}], "b": [{"k": 2}]}}')
+    write(tmp_path / "s/2026-01-01T000000Z/none.json", "[1, 2]")
+    write(tmp_path / "s/2026-01-01T000000Z/broken.json", "[")
+    drafts = profiling.profile_source(spark, tmp_path, "s", {"one": {"identity_field": "v"}})
+    assert set(drafts) == {"one", "two"} and drafts["one"]["identity_field"] == "v" and drafts["two"]["identity_field"] == "k"
+    assert drafts["two"]["record_extraction"] == {"unwrap_path": ["list"], "iterate_mode": "dict_of_lists"}
+    assert profiling.profile_source(spark, tmp_path, "unknown") == {}
