@@ -291,11 +291,12 @@ def similar_names(texts: DataFrame, names: DataFrame, most: int = 2) -> DataFram
     """(text, key, distance): names within `most` edits of a text among those that share an edit key.
 
     Any two texts one edit apart (a letter replaced, dropped, inserted or two exchanged) share one, so
-    an equi-join finds them; no pairs are enumerated. Two letters exchanged count as one edit.
+    an equi-join finds them; no pairs are enumerated. Two letters exchanged count as one edit. The join
+    is a sort-merge join by hint: runtime sizes are taken before texts are multiplied by their keys.
     """
     left = texts.select("text", F.explode(edit_keys(F.col("text"))).alias("_d"))
     right = names.select("text", "key", F.explode(edit_keys(F.col("text"))).alias("_d")).withColumnRenamed("text", "_name")
-    close = left.join(right, "_d").select("text", "_name", "key").distinct().withColumn("distance", F.levenshtein("text", "_name", most))
+    close = left.join(right.hint("merge"), "_d").select("text", "_name", "key").distinct().withColumn("distance", F.levenshtein("text", "_name", most))
     letters = lambda c: F.array_sort(F.split(c, ""))
     swapped = (F.col("distance") == 2) & (F.length("text") == F.length("_name")) & (letters(F.col("text")) == letters(F.col("_name")))
     close = close.withColumn("distance", F.when(swapped, 1).otherwise(F.col("distance")))
