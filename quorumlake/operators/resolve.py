@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.operators.skew import salted_join
+
 KEY = ["entity_id", "attribute"]
 
 
@@ -34,7 +36,8 @@ def discrepancies(claims: DataFrame, resolved: DataFrame | None = None) -> DataF
     """(entity_id, attribute, claims, resolved_value, winning_source, kind) where sources disagree.
 
     claims lists all non-null claims as emitted. kind is `self` if all come from one source. Only
-    groups found to disagree are gathered.
+    groups found to disagree are gathered; where a group may be too large for one row, take
+    `disputed_claims`.
     """
     resolved = resolve(claims) if resolved is None else resolved
     torn = resolved.filter("n_distinct > 1").select(*KEY, F.col("value_json").alias("resolved_value"), "winning_source")
@@ -53,6 +56,18 @@ def discrepancies(claims: DataFrame, resolved: DataFrame | None = None) -> DataF
     )
 
 
+def disputed_claims(claims: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """Every non-null claim of a group in which sources disagree, one row each, with the group's winner.
+
+    The same content as `discrepancies` without gathering a group in one row; claims are spread over
+    salts, as one group may hold most of them.
+    """
+    resolved = resolve(claims) if resolved is None else resolved
+    torn = resolved.filter("n_distinct > 1").select(*KEY, F.col("value_json").alias("resolved_value"), "winning_source")
+    said = claims.filter("value_json is not null").select(*KEY, "source", "value_json", "priority", "seq")
+    return salted_join(said, torn, KEY, F.struct("source", "seq"))
+
+
 def pivot_entities(resolved: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """One row per entity with a JSON text column per attribute asked for."""
     return resolved.groupBy("entity_id").pivot("attribute", list(attributes)).agg(F.first("value_json", ignorenulls=True))

@@ -58,6 +58,11 @@ def discrepancy_rows(spark: SparkSession, d: str) -> DataFrame:
     return found.select("entity_id", "attribute", said.alias("said"), "resolved_value", "winning_source", "kind")
 
 
+def disputed_claim_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same, one row per claim, so that no group is gathered."""
+    return resolve.disputed_claims(order_claims(spark, d)).select("entity_id", "attribute", "source", "value_json", "resolved_value", "winning_source")
+
+
 def last_wins_collapse(spark: SparkSession, d: str) -> DataFrame:
     """A source's repeats collapse to the last value at the place of the first."""
     e = table(spark, d, "events")
@@ -480,7 +485,7 @@ def species_names(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        trust_resolve, discrepancy_rows, last_wins_collapse, eav_unpivot, eav_pivot, first_seen_entities, upsert_resolved, fallback_join,
+        trust_resolve, discrepancy_rows, disputed_claim_rows, last_wins_collapse, eav_unpivot, eav_pivot, first_seen_entities, upsert_resolved, fallback_join,
         norm_name_join, existence_flags, enrichment_join, left_anti_rows, not_beneath_paths, json_nested_path, json_flatten_fields, catalog_sample,
         list_index_explode, bool_truthy, slugify_chain, regex_extract_int, camel_snake, gender_signal_case, identity_normalise, latest_snapshot,
         snapshot_diff, entity_created, ledger_replay, coverage_tiers, rank_identity, range_pairs, fingerprint, schema_inventory, top_tables,

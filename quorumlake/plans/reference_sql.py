@@ -90,6 +90,9 @@ ORACLE_SQL = {
 select c.entity_id, c.attribute, string_agg(c.source || '=' || c.value_json, ';' order by c.seq) as said, any_value(r.value_json) as resolved_value,
   any_value(r.winning_source) as winning_source, case when count(distinct c.source) = 1 then 'self' else 'cross_source' end as kind
 from {CLAIMS} c join ({RESOLVED}) r on r.entity_id = c.entity_id and r.attribute = c.attribute where r.n_distinct > 1 and c.value_json is not null group by 1, 2""",
+    "disputed_claim_rows": f"""
+select c.entity_id, c.attribute, c.source, c.value_json, r.value_json as resolved_value, r.winning_source
+from {CLAIMS} c join ({RESOLVED}) r on r.entity_id = c.entity_id and r.attribute = c.attribute where r.n_distinct > 1 and c.value_json is not null""",
     "last_wins_collapse": """
 select 'user_' || user_id as entity_id, event_type as attribute, arg_max(cast(cast(value as decimal(18,2)) as varchar), event_id) as value_json, min(event_id) as first_seq
 from events group by 1, 2""",
