@@ -39,6 +39,8 @@ GRAMS, SLOTS, PROBES, SAMPLE_ROWS = (3, 5), 1 << 22, 3, 20_000
 LEAST_COUNT, LEAST_SHARE = 4, 0.15
 #: A line decides by itself if its language leads by so many n-grams and by this share of its own.
 LINE_LEAD, LINE_SHARE = 12.0, 0.22
+#: and if it has so many letters and blanks; shorter ones may be a name that only one language's texts mention.
+LINE_CHARS = 24
 
 
 def label_code(label: Column) -> Column:
@@ -159,14 +161,15 @@ def ranked(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return scores.argmax(1), order[:, -1] - order[:, -2], order[:, -1]
 
 
-def judge_lines(scores: np.ndarray) -> np.ndarray:
-    """The language of each line that decides by itself, else -1."""
+def judge_lines(scores: np.ndarray, lines: Sequence[str]) -> np.ndarray:
+    """The language of each (plain) line that decides by itself, else -1."""
     best, lead, top = ranked(scores)
-    return np.where((lead >= LINE_LEAD) & (lead >= LINE_SHARE * np.maximum(top, 1)), best, -1)
+    long = np.array([len(x) for x in lines]) >= LINE_CHARS
+    return np.where(long & (lead >= LINE_LEAD) & (lead >= LINE_SHARE * np.maximum(top, 1)), best, -1)
 
 
-def judge_text(scores: np.ndarray) -> tuple[int, float, list[tuple[int, float]]]:
-    """(main language, confidence, [(language, confidence) per line]) of a text from its lines' scores.
+def judge_text(scores: np.ndarray, texts: Sequence[str]) -> tuple[int, float, list[tuple[int, float]]]:
+    """(main language, confidence, [(language, confidence) per line]) of a text from its (plain) lines and their scores.
 
     The list is empty unless lines of more than one language decide by themselves. In a mixed text a
     line that doesn't decide takes the better of the languages that occur, or its neighbour's if
@@ -176,7 +179,7 @@ def judge_text(scores: np.ndarray) -> tuple[int, float, list[tuple[int, float]]]
     if not len(scores) or scores.max() <= 0:
         return -1, 0.0, []
     confidence = lambda lead, top: round(float(lead / (top + 5.0)), 4) if top > 0 else 0.0
-    sure = judge_lines(scores)
+    sure = judge_lines(scores, texts)
     present = sorted(set(sure[sure >= 0].tolist()))
     if len(present) < 2:
         best, lead, top = ranked(scores.sum(0, keepdims=True))
@@ -247,7 +250,7 @@ def fit(labelled: DataFrame, languages: list[str] = LANGUAGES, sample_rows: int
                         own = [plain(x) for x in lines_of(text)]
                         lines += own
                         labels += [languages.index(code)] * len(own)
-                    known = np.array(labels, np.int64) if filters is None else judge_lines(filters.scores(lines)) if lines else np.zeros(0, np.int64)
+                    known = np.array(labels, np.int64) if filters is None else judge_lines(filters.scores(lines), lines) if lines else np.zeros(0, np.int64)
                     found = gram_counts(lines, known, len(languages), GRAMS)
                     columns = zip(*found) if found else [[]] * 3
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "b", "n"])
@@ -277,7 +280,7 @@ def detect(documents: DataFrame, filters: LanguageFilters) -> DataFrame:
                 scores = filters.scores(lines) if lines else np.zeros((0, len(languages)))
                 out = []
                 for doc, (p, q) in zip(ids[a : a + 500], owners):
-                    main, sure, segments = judge_text(scores[p:q])
+                    main, sure, segments = judge_text(scores[p:q], lines[p:q])
                     out.append((doc, -1, languages[main] if main >= 0 else None, sure))
                     out += [(doc, n, languages[b], c) for n, (b, c) in enumerate(segments)]
                 columns = list(zip(*out)) if out else [[]] * 4

@@ -103,6 +103,14 @@ def test_mixed_texts_and_odd_ones(spark, fitted):
     assert all(0 <= r.confidence <= 1 for r in rows)
 
 
+def test_a_name_alone_makes_no_text_mixed(spark):
+    rnd = random.Random(8)
+    rows = [(i, "# Kudiraguse\n" + sentence(rnd, "en"), "en") if i % 3 == 0 else (i, sentence(rnd, "de"), "de") for i in range(300)]
+    f = G.fit(spark.createDataFrame(rows, "doc_id bigint, text string, code string"), list(WORDS))
+    df = spark.createDataFrame([(1, "# Kudiraguse\n" + sentence(rnd, "de"))], "doc_id bigint, text string")
+    assert [(r.segment_no, r.lang) for r in G.detect(df, f).collect()] == [(-1, "de")]
+
+
 def test_without_rows(spark, fitted):
     empty = spark.createDataFrame([], "doc_id bigint, text string, code string")
     assert G.detect(empty, fitted).count() == 0
