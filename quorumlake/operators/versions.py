@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlake.operators.snapshots import MOST_SNAPSHOTS
 from quorumlake.session import cut
 
 #: What a range reports. version: true, false, or null where it depends on the range before.
@@ -126,20 +127,50 @@ def build_versions(*logs: DataFrame) -> DataFrame:
     canonical. valid_to is null for the version still in force. Rows with a null entity, attribute
     or instant take no place in the order and give nothing; repeated rows count once; rows of one
     instant are resolved by `in_force`; empty logs give an empty history.
+
+    A log may also have old_absent and new_absent: true where there is no record at all, which is
+    another state than a record with a null value. Absence ends a version and is none itself.
     """
     cols = ["entity_id", "attribute", "at", "old_value", "new_value"]
+    coded = any("new_absent" in log.columns for log in logs)
     merged = None
     for log in logs:
-        one = log.select(*cols).dropna(subset=cols[:3])
+        one = log
+        if coded:  # absence travels as the empty text, a value behind a sign
+            for c in ("old", "new"):
+                value = F.concat(F.lit("="), F.col(f"{c}_value"))
+                one = one.withColumn(f"{c}_value", F.when(F.col(f"{c}_absent"), "").otherwise(value) if f"{c}_absent" in log.columns else value)
+        one = one.select(*cols).dropna(subset=cols[:3])
         merged = one if merged is None else merged.unionByName(one)
     ranged = merged.distinct().repartitionByRange(*cols[:3]).sortWithinPartitions(*cols)
-    return stitch(cut(ranged.mapInArrow(merge_range, RANGE_SCHEMA)))
+    out = stitch(cut(ranged.mapInArrow(merge_range, RANGE_SCHEMA)))
+    return out.filter("not value <=> ''").withColumn("value", F.expr("substring(value, 2)")) if coded else out
 
 
 def snapshots_as_log(snapshots: DataFrame, entity: Column, at: Column, attributes: dict[str, Column]) -> DataFrame:
-    """Periodic snapshots as an update log: one row per attribute and snapshot, old value unknown."""
+    """Periodic full snapshots as an update log: a row per attribute for each snapshot that has the
+    record, and one for the first snapshot after it that lacks the record (new_absent).
+
+    Before its first snapshot and in a gap a record is absent, so what comes back begins new versions,
+    and an attribute that is null from the start has a version. Every instant of `snapshots` is a
+    delivery of all records.
+    """
     pairs = F.array(*[F.struct(F.lit(k).alias("attribute"), v.cast("string").alias("new_value")) for k, v in attributes.items()])
+    rows = snapshots.select(entity.alias("entity_id"), at.cast("bigint").alias("at"), pairs.alias("_a"))
+    # one row per delivery; the only window without a key, over as many rows as there are snapshots
+    deliveries = cut(rows.select("at").dropna().distinct().withColumn("_next", F.lead("at").over(Window.orderBy("at"))))
+    # a snapshot holds a large share of all records, so records shouldn't be shuffled by it
+    if deliveries.count() <= MOST_SNAPSHOTS:
+        deliveries = F.broadcast(deliveries)
+    then = F.lead("at").over(Window.partitionBy("entity_id").orderBy("at"))
+    seen = rows.dropna(subset=["entity_id", "at"]).join(deliveries, "at").withColumn("_then", then)
+    gone = F.when(F.col("_next").isNotNull() & (F.col("_then").isNull() | (F.col("_then") > F.col("_next"))), F.struct(F.col("_next").alias("at"), F.lit(True).alias("gone")))
+    events = F.array_compact(F.array(F.struct("at", F.lit(False).alias("gone")), gone))
     return (
-        snapshots.select(entity.alias("entity_id"), at.cast("bigint").alias("at"), F.explode(pairs).alias("_p"))
-        .select("entity_id", F.col("_p.attribute"), "at", F.lit(None).cast("string").alias("old_value"), F.col("_p.new_value"))
-    )
+        seen.select("entity_id", F.explode(events).alias("_e"), "_a")
+        .select("entity_id", "_e.at", "_e.gone", F.explode("_a").alias("_p"))
+        .select(
+            "entity_id", F.col("_p.attribute"), "at", F.lit(None).cast("string").alias("old_value"), F.when(~F.col("gone"), F.col("_p.new_value")).alias("new_value"),
+            F.lit(True).alias("old_absent"), F.col("gone").alias("new_absent"),
+        )
+    )

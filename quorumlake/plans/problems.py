@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.functions.clean import blank_to_null, canonical_json, canonical_value, instant_micros, norm_id, period_of, trimmed
@@ -34,54 +34,58 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return v.select("entity_id", "attribute", *seconds(v))
 
 
+def snapshot_content(t: DataFrame, key: str) -> dict[str, Column]:
+    """Every column of a snapshot table but key and instants, in a form that compares."""
+    content = {}
+    for f in t.schema:
+        if f.name in (key, "snapshot_ts", "loaded_at"):
+            continue
+        c = t[f.name]
+        if f.name in ("localized_names", "stat_buffs"):
+            c = canonical_json(c)
+        elif f.name == "species_slug":
+            c = norm_id(c)
+        elif f.dataType.typeName() == "string":
+            c = blank_to_null(c)
+        elif f.dataType.typeName() == "array":
+            c = F.transform(c, trimmed)
+        content[f.name] = c
+    return content
+
+
+SNAPSHOT_KEYS = {"species": "slug", "forms": "slug", "moves": "move_id"}
+
+
 def p1_snapshot_history(spark: SparkSession, d: str) -> DataFrame:
-    """Versions of the species' attributes, built from the periodic snapshots instead of the log."""
-    t = table(spark, d, "species")
-    # of several rows of a slug in one snapshot the one loaded last counts
-    named = {
-        "name": trimmed(t["name"]),
-        "gen": t["gen"],
-        "buddy_distance_km": t["buddy_distance_km"],
-        "base_attack": t["base_attack"],
-        "base_defense": t["base_defense"],
-        "base_stamina": t["base_stamina"],
-        "max_cp_lvl40": t["max_cp_lvl40"],
-    }
-    last = (
-        t.select(norm_id(t["slug"]).alias("slug"), "snapshot_ts", F.struct("loaded_at", *[c.alias(n) for n, c in named.items()]).alias("_r"))
-        .groupBy("slug", "snapshot_ts")
-        .agg(F.max("_r").alias("_r"))
-    )
-    log = versions.snapshots_as_log(
-        last,
-        F.concat(F.lit("species:"), F.col("slug")),
-        F.unix_micros(F.col("snapshot_ts").cast("timestamp")),
-        {n: canonical_value(F.col(f"_r.{n}")) for n in named},
-    )
-    v = versions.build_versions(log)
-    return v.select("entity_id", "attribute", "value", *seconds(v))
+    """Versions of all attributes of species, forms and moves, built from the periodic snapshots instead of the log."""
+    out = None
+    for name, key in SNAPSHOT_KEYS.items():
+        t = table(spark, d, name)
+        content = snapshot_content(t, key)
+        # of several rows of a key in one snapshot the one loaded last counts
+        last = (
+            t.select(norm_id(t[key]).alias("_key"), "snapshot_ts", F.struct("loaded_at", *[c.alias(n) for n, c in content.items()]).alias("_r"))
+            .groupBy("_key", "snapshot_ts")
+            .agg(F.max("_r").alias("_r"))
+        )
+        log = versions.snapshots_as_log(
+            last,
+            F.concat(F.lit(f"{name}:"), F.col("_key")),
+            F.unix_micros(F.col("snapshot_ts").cast("timestamp")),
+            {n: F.to_json(F.col(f"_r.{n}")) if t.schema[n].dataType.typeName() == "array" else canonical_value(F.col(f"_r.{n}")) for n in content},
+        )
+        v = versions.build_versions(log)
+        one = v.select("entity_id", "attribute", "value", *seconds(v))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def snapshot_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The last-loaded records of the three snapshot tables, with content to compare."""
     out = {}
-    for name, key in (("species", "slug"), ("forms", "slug"), ("moves", "move_id")):
+    for name, key in SNAPSHOT_KEYS.items():
         t = table(spark, d, name)
-        content = {}
-        for f in t.schema:
-            if f.name in (key, "snapshot_ts", "loaded_at"):
-                continue
-            c = t[f.name]
-            if f.name in ("localized_names", "stat_buffs"):
-                c = canonical_json(c)
-            elif f.name == "species_slug":
-                c = norm_id(c)
-            elif f.dataType.typeName() == "string":
-                c = blank_to_null(c)
-            elif f.dataType.typeName() == "array":
-                c = F.transform(c, trimmed)
-            content[f.name] = c
-        out[name] = snapshots.last_loaded(t, norm_id(t[key]), t["snapshot_ts"], t["loaded_at"], content)
+        out[name] = snapshots.last_loaded(t, norm_id(t[key]), t["snapshot_ts"], t["loaded_at"], snapshot_content(t, key))
     return out
 
 
