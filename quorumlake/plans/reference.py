@@ -107,8 +107,8 @@ def fallback_join(spark: SparkSession, d: str) -> DataFrame:
     """Partner by exact name, else (large parts only) by the name with a suffix; the first of several counts."""
     p = table(spark, d, "part")
     name = T.strict_join_key(F.concat_ws(" ", F.col("p_name"), (F.col("p_partkey") % 50).cast("string")))
-    rows = p.filter("p_partkey % 2 = 0").select("p_partkey", F.col("p_size"), name.alias("name"))
-    other = p.filter("p_partkey % 2 = 0 and p_partkey % 5 < 3").select(
+    rows = p.select("p_partkey", F.col("p_size"), name.alias("name"))
+    other = p.select(
         F.when(F.col("p_partkey") % 3 == 0, F.concat(name, F.lit("_FAST"))).otherwise(name).alias("move"), F.col("p_partkey").alias("seq"), F.col("p_brand").alias("brand")
     )
     keys = [F.col("name"), F.when(F.col("p_size") > 20, F.concat(F.col("name"), F.lit("_FAST")))]
