@@ -28,3 +28,13 @@ def test_fallback_join_keeps_every_part(spark, small):
     assert len(rows) == len(parts)
     assert {r.p_partkey: (r.partner, r.partner_brand) for r in rows} == want
     assert (None, None) in want.values()
+
+
+def test_norm_name_join_finds_every_customer(spark, small):
+    number = lambda text: text.rpartition("#")[2]
+    customers, suppliers = (pq.read_table(f"{small}/{t}.parquet").to_pylist() for t in ("customer", "supplier"))
+    by_number = {number(c["c_name"]): c["c_custkey"] for c in customers}
+    want = {(s["s_suppkey"], by_number.get(number(s["s_name"])), "ENTITY_" + number(s["s_name"])) for s in suppliers}
+    got = [(r.s_suppkey, r.c_custkey, r.k) for r in reference.norm_name_join(spark, small).collect()]
+    assert len(by_number) == len(customers) and len(got) == len(suppliers)
+    assert set(got) == want
