@@ -270,10 +270,10 @@ SHORT, END = 40, 16
 
 
 def edit_keys(c: Column) -> Column:
-    """Keys of which two texts one edit apart share at least one.
+    """Keys of which two texts one edit apart share at least one, unless a text has under 5 characters.
 
-    A short text's keys are the text and all texts with one character less (from 5 characters on).
-    An edit in a long text leaves its first or its last characters as they are.
+    A short text's keys are the text and all texts with one character less; one under 5 characters
+    has only itself. An edit in a long text leaves its first or its last characters as they are.
     """
     shorter = F.transform(
         F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))
@@ -290,9 +290,11 @@ def edit_keys(c: Column) -> Column:
 def similar_names(texts: DataFrame, names: DataFrame, most: int = 2) -> DataFrame:
     """(text, key, distance): names within `most` edits of a text among those that share an edit key.
 
-    Any two texts one edit apart (a letter replaced, dropped, inserted or two exchanged) share one, so
-    an equi-join finds them; no pairs are enumerated. Two letters exchanged count as one edit. The join
-    is a sort-merge join by hint: runtime sizes are taken before texts are multiplied by their keys.
+    Any two texts of 5 characters or more that are one edit apart (a letter replaced, dropped, inserted
+    or two exchanged) share one, so an equi-join finds them; no pairs are enumerated. A text of up to 4
+    characters is found as it is, or where one of 5 becomes it by losing a letter. Two letters exchanged
+    count as one edit. The join is a sort-merge join by hint: runtime sizes are taken before texts are
+    multiplied by their keys.
     """
     left = texts.select("text", F.explode(edit_keys(F.col("text"))).alias("_d"))
     right = names.select("text", "key", F.explode(edit_keys(F.col("text"))).alias("_d")).withColumnRenamed("text", "_name")
