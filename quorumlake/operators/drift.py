@@ -212,6 +212,14 @@ def name_similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, x, y, autojunk=False).ratio()
 
 
+def comparable(a: set[int], a_filled: int, b: set[int], b_filled: int) -> tuple[set[int], set[int]]:
+    """Both sketches up to the hash to which both are complete; beyond it a kept one has no counterpart."""
+    borders = [max(x) for x, filled in ((a, a_filled), (b, b_filled)) if filled > SKETCH_SIZE and len(x) == SKETCH_SIZE]
+    if not borders:
+        return a, b
+    return {h for h in a if h <= min(borders)}, {h for h in b if h <= min(borders)}
+
+
 def value_similarity(pairs: list[tuple[dict, dict]]) -> float:
     """How far the values carry over, over all places in which the pair of fields occurs.
 
@@ -226,6 +234,7 @@ def value_similarity(pairs: list[tuple[dict, dict]]) -> float:
             by_record = [(a_all[ours.index(n)], b_all[theirs.index(n)]) for n in names]
         else:
             by_record = [(unpacked(old["sketch"])[0], unpacked(new["sketch"])[0])]
+        by_record = [comparable(a, old["filled"], b, new["filled"]) for a, b in by_record]
         a, b = max(by_record, key=lambda x: len(x[0] & x[1]))
         shared, total = shared + len(a & b), total + min(len(a), len(b))
     return shared / total if total else 0.0
