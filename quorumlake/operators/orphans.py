@@ -15,12 +15,14 @@ from quorumlake.session import cut
 class Reference:
     """Rows (period, record_key, ref_period, ref) of a child table that point to a parent table's records.
 
-    ref_period is the period in which the parent must hold the record (the child's own, usually).
+    ref_period is the period in which the parent must hold the record (the child's own, usually); by
+    is the column of the parent's keys that ref means (its key, or another name of the record).
     """
 
     child: str
     parent: str
     rows: DataFrame
+    by: str = "key"
 
 
 def direct_orphans(rows: DataFrame, parents: DataFrame) -> DataFrame:
@@ -46,35 +48,49 @@ def direct_orphans(rows: DataFrame, parents: DataFrame) -> DataFrame:
 def cascade(references: list[Reference], parents: dict[str, DataFrame]) -> DataFrame:
     """Fixpoint over the foreign-key graph: (table_name, period, record_key, orphan_kind, depth).
 
-    Depth 0 are direct orphans. A row whose parent record is itself an orphan (of the referenced
-    period) is `inherited`, at the depth of the shortest chain of references. Each round semi-joins
-    the references with the records found in the round before and stops when nothing is new, so
-    cycles end too. A row may be a direct orphan by several references; it then comes out per kind.
+    parents: per table (period, key) and the columns that references name in `by`. Depth 0 are direct
+    orphans. A row whose parent record is itself an orphan (of the referenced period) is `inherited`,
+    at the depth of the shortest chain of references. The references are reduced to distinct rows
+    once. Each round semi-joins those whose parent table got orphans in the round before with just
+    these, and it stops when nothing is new, so cycles end too. A row may be a direct orphan by several
+    references; it then comes out per kind.
     """
-    found = None
+    references = [
+        Reference(r.child, r.parent, cut(r.rows.select("period", "record_key", "ref_period", "ref").dropna(subset=["ref"]).distinct()), r.by)
+        for r in references
+    ]
+    row = ["table_name", "period", "record_key"]
+    direct = None
     for r in references:
-        one = direct_orphans(r.rows, parents[r.parent]).select(
-            F.lit(r.child).alias("table_name"), "period", "record_key", "orphan_kind", F.lit(0).alias("depth")
-        )
-        found = one if found is None else found.unionByName(one)
-    found = cut(found.distinct())
-    frontier, depth = found, 0
+        keys = parents[r.parent].select("period", F.col(r.by).alias("key"))
+        one = direct_orphans(r.rows, keys).select(F.lit(r.child).alias("table_name"), "period", "record_key", "orphan_kind", F.lit(0).alias("depth"))
+        direct = one if direct is None else direct.unionByName(one)
+    rounds = [cut(direct.distinct())]
     while True:
-        depth += 1
+        frontier = rounds[-1]
+        # as many rows as there are tables
+        lost_in = {r.table_name for r in frontier.select("table_name").distinct().collect()}
         hit = None
         for r in references:
-            lost = (
-                frontier.filter(F.col("table_name") == r.parent)
-                .select(F.col("period").alias("ref_period"), F.col("record_key").alias("ref"))
-                .distinct()
-            )
-            one = salted_join(
-                r.rows.dropna(subset=["ref"]), lost, ["ref_period", "ref"], F.struct("period", "record_key"), "left_semi"
-            ).select(F.lit(r.child).alias("table_name"), "period", "record_key")
+            if r.parent not in lost_in:
+                continue
+            lost = frontier.filter(F.col("table_name") == r.parent).select(F.col("period").alias("ref_period"), F.col("record_key").alias("ref")).distinct()
+            if r.by != "key":
+                named = parents[r.parent].select(F.col("period").alias("ref_period"), F.col("key").alias("ref"), F.col(r.by).alias("_by"))
+                lost = named.join(lost, ["ref_period", "ref"], "left_semi").select("ref_period", F.col("_by").alias("ref")).dropna().distinct()
+            one = salted_join(r.rows, lost, ["ref_period", "ref"], F.struct("period", "record_key"), "left_semi")
+            one = one.select(F.lit(r.child).alias("table_name"), "period", "record_key")
             hit = one if hit is None else hit.unionByName(one)
-        known = found.select("table_name", "period", "record_key").distinct()
-        fresh = hit.distinct().join(known, ["table_name", "period", "record_key"], "left_anti")
-        frontier = cut(fresh.withColumn("orphan_kind", F.lit("inherited")).withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            return found
-        found = found.unionByName(frontier)
+        if hit is None:
+            break
+        fresh = hit.distinct()
+        for known in rounds:
+            fresh = fresh.join(known.select(*row), row, "left_anti")
+        fresh = cut(fresh.withColumn("orphan_kind", F.lit("inherited")).withColumn("depth", F.lit(len(rounds))))
+        if fresh.isEmpty():
+            break
+        rounds.append(fresh)
+    out = rounds[0]
+    for found in rounds[1:]:
+        out = out.unionByName(found)
+    return out

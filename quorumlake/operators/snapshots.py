@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlake.operators.skew import salted_join
 from quorumlake.session import cut
 
-
-#: Up to so many snapshots (two instants each) are sent to every executor.
+#: Tables of instants up to so many rows (16 bytes each) are sent to every executor.
 MOST_SNAPSHOTS = 100_000
 
 
+def with_instants(rows: DataFrame, instants: DataFrame, on: str, spread: Column) -> DataFrame:
+    """rows joined with `instants` (a row per snapshot) by the snapshot column `on`.
+
+    A snapshot holds a large share of all rows, so they are never shuffled by it as it is: up to
+    MOST_SNAPSHOTS instants travel to the rows; more are joined with heavy snapshots salted by `spread`.
+    """
+    instants = cut(instants)
+    if instants.count() <= MOST_SNAPSHOTS:
+        return rows.join(F.broadcast(instants), on)
+    return salted_join(rows, instants, [on], spread)
+
+
 def last_loaded(df: DataFrame, key: Column, snapshot: Column, loaded: Column, content: dict[str, Column]) -> DataFrame:
     """One row (record_key, snapshot, digest) per key and snapshot: the row loaded last.
 
@@ -32,26 +44,30 @@ def last_loaded(df: DataFrame, key: Column, snapshot: Column, loaded: Column, co
 def snapshot_changes(records: DataFrame) -> DataFrame:
     """(snapshot, record_key, change_kind) between each snapshot and the one before it.
 
-    `records` is what `last_loaded` returns. EXCEPT ALL in both directions drops identical records
-    (it is one hash aggregate over a union, so it combines before it shuffles); only the residues
-    meet in the full join that labels additions, removals and changes. The first snapshot has no
-    predecessor and reports nothing; empty tables give an empty result.
+    `records` is what `last_loaded` returns. Each record counts +1 in its own snapshot and -1 in the
+    next one; the signed count of identical records is EXCEPT ALL in both directions at once (one
+    aggregate that combines before it shuffles), and only its residues meet in the full join by key
+    that labels additions, removals and changes. The first snapshot has no predecessor and reports
+    nothing; empty tables give an empty result.
     """
     records = cut(records)
     # one row per delivery; the only window without a key, over as many rows as there are snapshots
-    deliveries = records.select("snapshot").distinct().withColumn("previous", F.lag("snapshot").over(Window.orderBy("snapshot")))
-    deliveries = cut(deliveries.filter("previous is not null"))
-    # a snapshot holds a large share of all records, so records shouldn't be shuffled by it
-    if deliveries.count() <= MOST_SNAPSHOTS:
-        deliveries = F.broadcast(deliveries)
-    new = records.join(deliveries.drop("previous"), "snapshot").select("snapshot", "record_key", "digest")
-    old = (
-        records.withColumnRenamed("snapshot", "previous")
-        .join(deliveries, "previous")
-        .select("snapshot", "record_key", "digest")
+    by_time = Window.orderBy("snapshot")
+    deliveries = records.select("snapshot").distinct()
+    deliveries = deliveries.withColumn("_next", F.lead("snapshot").over(by_time)).withColumn("_first", F.row_number().over(by_time) == 1)
+    placed = with_instants(records, deliveries, "snapshot", F.col("record_key"))
+    sides = F.array_compact(
+        F.array(
+            F.when(~F.col("_first"), F.struct(F.col("snapshot").alias("s"), F.lit(1).alias("sign"))),
+            F.when(F.col("_next").isNotNull(), F.struct(F.col("_next").alias("s"), F.lit(-1).alias("sign"))),
+        )
+    )
+    signed = placed.select(F.explode(sides).alias("_s"), "record_key", "digest")
+    residue = (
+        signed.groupBy(F.col("_s.s").alias("snapshot"), "record_key", "digest").agg(F.sum("_s.sign").alias("_n")).filter("_n <> 0")
     )
-    fresh = new.exceptAll(old).select("snapshot", "record_key", F.lit(True).alias("_new"))
-    gone = old.exceptAll(new).select("snapshot", "record_key", F.lit(True).alias("_old"))
+    fresh = residue.filter("_n > 0").select("snapshot", "record_key", F.lit(True).alias("_new"))
+    gone = residue.filter("_n < 0").select("snapshot", "record_key", F.lit(True).alias("_old"))
     kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("changed")
     return fresh.join(gone, ["snapshot", "record_key"], "full").select("snapshot", "record_key", kind.alias("change_kind"))
 

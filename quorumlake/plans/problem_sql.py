@@ -116,6 +116,42 @@ P4 = " union all ".join(
     ]
 )
 
+
+
+def logged(name: str, key: str) -> str:
+    """Entries of the change log about one table, against that table's last snapshot."""
+    last = f"(select max(snapshot_ts) from {name})"
+    return f"""
+select 'change_history' as t, {last} as s, e.k, 0 as depth, case when m.lo < {last} then 'deleted' else 'missing' end as kind
+from (select distinct {norm_id('entity_id')} k from change_history) e
+left join (select {norm_id(key)} r, min(snapshot_ts) lo from {name} group by 1) m on m.r = substr(e.k, {len(name) + 2})
+where starts_with(e.k, '{name}:') and {last} is not null
+and not exists (select 1 from {name} p where p.snapshot_ts = {last} and {norm_id('p.' + key)} = substr(e.k, {len(name) + 2}))"""
+
+
+#: Every reference as (child, child's snapshot, child's key, parent, parent's snapshot, parent's key); species have no parent.
+EDGES = " union all ".join(
+    f"select 'change_history' as ct, (select max(snapshot_ts) from {n}) as cs, {norm_id('entity_id')} as ck, '{n}' as pt, "
+    f"(select max(snapshot_ts) from {n}) as ps, substr({norm_id('entity_id')}, {len(n) + 2}) as pk from change_history where starts_with({norm_id('entity_id')}, '{n}:')"
+    for n in ("species", "forms", "moves")
+) + "".join(
+    f" union all select '{n}', snapshot_ts, {norm_id(key)}, 'species', snapshot_ts, '' from {n}"  # a species is never an orphan itself
+    for n, key in (("forms", "slug"), ("raid_bosses", "boss_id"), ("community_days", "event_id"))
+)
+P4_CASCADE = f"""
+with recursive direct as (
+  select table_name as t, strptime(period, '%Y-%m-%d') as day, record_key as k, 0 as depth, orphan_kind as kind from ({P4})
+  union select t, date_trunc('day', s), k, depth, kind from ({logged('species', 'slug')} union all {logged('forms', 'slug')} union all {logged('moves', 'move_id')})
+), edges as (select distinct ct, date_trunc('day', cs) cs, ck, pt, date_trunc('day', ps) ps, pk from ({EDGES})),
+reached as (
+  select t, day, k, 0 as depth from direct
+  union select e.ct, e.cs, e.ck, r.depth + 1 from reached r join edges e on e.pt = r.t and e.ps = r.day and e.pk = r.k where r.depth < 10
+)
+select t as table_name, strftime(day, '%Y-%m-%d') as period, k as record_key, kind as orphan_kind, depth from direct
+union all select t, strftime(day, '%Y-%m-%d'), k, 'inherited', min(depth) from reached x
+where not exists (select 1 from direct y where y.t = x.t and y.day = x.day and y.k = x.k) group by 1, 2, 3"""
+
+
 def members(array: str, source: str) -> str:
     """Each element of a JSON array with its position from 0."""
     return f"unnest(from_json({array}, '[\"json\"]')) as r, generate_subscripts(from_json({array}, '[\"json\"]'), 1) - 1 as pos from ({source})"
@@ -174,4 +210,6 @@ ORACLE_SQL = {
     "p3_found": P3,
     "p3_summary": f"select table_name, period, change_kind, count(*) as n_records from ({P3}) group by all",
     "p4_found": P4,
+    "p4_cascade": P4_CASCADE,
+    "p4_report": f"select table_name, period, orphan_kind, depth, count(*) as n_records from ({P4_CASCADE}) group by all",
 }

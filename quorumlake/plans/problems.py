@@ -20,6 +20,7 @@ def update_log(spark: SparkSession, d: str) -> DataFrame:
         instant_micros(t["recorded_at"]).alias("at"),
         canonical_value(t["old_value"]).alias("old_value"),
         canonical_value(t["new_value"]).alias("new_value"),
+        norm_id(t["source_key"]).alias("run"),
     )
 
 
@@ -29,7 +30,7 @@ def seconds(v: DataFrame) -> list:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """One row per version of every attribute in the change log."""
+    """One row per version of every attribute in the change log, whose sources are merged."""
     v = versions.build_versions(update_log(spark, d))
     return v.select("entity_id", "attribute", *seconds(v))
 
@@ -105,69 +106,54 @@ def p3_summary(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).groupBy("table_name", "period", "change_kind").agg(F.count(F.lit(1)).alias("n_records"))
 
 
-def species_references(spark: SparkSession, d: str) -> list[tuple[orphans.Reference, DataFrame]]:
-    """The three references to species, each with the keys they mean."""
-    species, forms = table(spark, d, "species"), table(spark, d, "forms")
-    bosses, days = table(spark, d, "raid_bosses"), table(spark, d, "community_days")
-    slugs = species.select(F.col("snapshot_ts").alias("period"), norm_id(F.col("slug")).alias("key"))
-    names = species.select(F.col("snapshot_ts").alias("period"), norm_id(F.col("name")).alias("key"))
-    last_forms = (
-        forms.select(
-            norm_id(F.col("slug")).alias("record_key"),
-            F.col("snapshot_ts").alias("period"),
-            F.struct("loaded_at", norm_id(F.col("species_slug")).alias("ref")).alias("_r"),
-        )
-        .dropna(subset=["record_key", "period"])
-        .groupBy("record_key", "period")
-        .agg(F.max("_r").alias("_r"))
-        .select("period", "record_key", F.col("period").alias("ref_period"), F.col("_r.ref").alias("ref"))
-    )
+#: Tables whose records the change log names as `table:key`, with the kind of key.
+LOGGED = {"species": "slug", "forms": "slug", "moves": "move_id"}
 
-    def rows(t: DataFrame, key: str, ref) -> DataFrame:
-        return t.select(
-            F.col("snapshot_ts").alias("period"), norm_id(F.col(key)).alias("record_key"), F.col("snapshot_ts").alias("ref_period"), ref.alias("ref")
-        ).dropna(subset=["record_key", "period"])
-
-    return [
-        (orphans.Reference("forms", "species", last_forms), slugs),
-        (orphans.Reference("raid_bosses", "species", rows(bosses, "boss_id", F.translate(norm_id(F.col("pokemon_id")), "_", "-"))), slugs),
-        (orphans.Reference("community_days", "species_name", rows(days, "event_id", norm_id(F.col("featured_pokemon")))), names),
-    ]
 
+def reference_graph(spark: SparkSession, d: str) -> tuple[list[orphans.Reference], dict[str, DataFrame]]:
+    """All references between the tables, and the keys of the tables they lead to.
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Direct orphan references to species, per table and period."""
-    out = None
-    for r, parents in species_references(spark, d):
-        one = orphans.direct_orphans(r.rows, parents).select(
-            F.lit(r.child).alias("table_name"), period_of(F.col("period")).alias("period"), "record_key", "orphan_kind"
-        )
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    Forms, raid bosses and community days point to species of their period (the days by name). The
+    entries of the change log, which have no period of their own, point to species, forms or moves of
+    that table's last snapshot.
+    """
+    tables = {n: table(spark, d, n) for n in ("species", "forms", "moves", "raid_bosses", "community_days")}
+    at = F.col("snapshot_ts").alias("period")
+    parents = {n: tables[n].select(at, norm_id(F.col(k)).alias("key"), *([norm_id(F.col("name")).alias("name")] if n == "species" else [])) for n, k in LOGGED.items()}
+
+    def rows(name: str, key: str, ref: Column) -> DataFrame:
+        found = tables[name].select(at, norm_id(F.col(key)).alias("record_key"), F.col("snapshot_ts").alias("ref_period"), ref.alias("ref"), "loaded_at")
+        found = found.dropna(subset=["record_key", "period"])
+        if name == "forms":  # of several rows of a form in one snapshot the one loaded last counts
+            found = found.groupBy("period", "record_key", "ref_period").agg(F.max(F.struct("loaded_at", "ref")).alias("_r")).withColumn("ref", F.col("_r.ref"))
+        return found.select("period", "record_key", "ref_period", "ref")
+
+    references = [
+        orphans.Reference("forms", "species", rows("forms", "slug", norm_id(F.col("species_slug")))),
+        orphans.Reference("raid_bosses", "species", rows("raid_bosses", "boss_id", F.translate(norm_id(F.col("pokemon_id")), "_", "-"))),
+        orphans.Reference("community_days", "species", rows("community_days", "event_id", norm_id(F.col("featured_pokemon"))), "name"),
+    ]
+    entity = table(spark, d, "change_history").select(norm_id(F.col("entity_id")).alias("record_key")).distinct()
+    for name in LOGGED:
+        last = F.lit(tables[name].agg(F.max("snapshot_ts")).first()[0]).cast("timestamp_ntz")  # one value
+        ref = F.expr(f"substring(record_key, {len(name) + 2})")
+        log = entity.filter(F.col("record_key").startswith(f"{name}:")).select(last.alias("period"), "record_key", last.alias("ref_period"), ref.alias("ref"))
+        references.append(orphans.Reference("change_history", name, log))
+    return references, parents
 
 
 def p4_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Direct and inherited orphans: the log entries about a form hang on the form, the form on its species.
-
-    A log entry has no period of its own; it refers to the last snapshot of forms.
-    """
-    refs = species_references(spark, d)
-    parents = {r.parent: p for r, p in refs}
-    forms = refs[0][0].rows
-    parents["forms"] = forms.select("period", F.col("record_key").alias("key"))
-    last = F.lit(forms.agg(F.max("period")).first()[0]).cast("timestamp_ntz")  # one value
-    entity = norm_id(F.col("entity_id"))
-    log = (
-        table(spark, d, "change_history")
-        .select(entity.alias("record_key"))
-        .filter(F.col("record_key").startswith("forms:"))
-        .distinct()
-        .select(last.alias("period"), "record_key", last.alias("ref_period"), F.expr("substring(record_key, 7)").alias("ref"))
-    )
-    found = orphans.cascade([*[r for r, _ in refs], orphans.Reference("change_history", "forms", log)], parents)
+    """Direct and inherited orphans of all tables that refer to others, the change log included."""
+    found = orphans.cascade(*reference_graph(spark, d))
     return found.select("table_name", period_of(F.col("period")).alias("period"), "record_key", "orphan_kind", "depth").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The direct orphans of the cascade in forms, raid bosses and community days."""
+    direct = p4_cascade(spark, d).filter((F.col("depth") == 0) & (F.col("table_name") != "change_history"))
+    return direct.select("table_name", "period", "record_key", "orphan_kind")
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphans counted per table, period, kind and depth."""
     return p4_cascade(spark, d).groupBy("table_name", "period", "orphan_kind", "depth").agg(F.count(F.lit(1)).alias("n_records"))

@@ -321,19 +321,53 @@ def test_salted_rank_and_lag(spark):
         last[k] = i * 7
 
 
-def test_salted_join_kinds(spark):
+@pytest.mark.parametrize("least", [1, 10, 1000])
+def test_salted_join_kinds(spark, least):
     large = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 99), (None, 98)], "k int, i int")
     small = spark.createDataFrame([(1, "one"), (3, "three")], "k int, n string")
-    assert skew.salted_join(large, small, ["k"], F.col("i")).count() == 50
-    assert skew.salted_join(large, small, ["k"], F.col("i"), "left").count() == 52
-    assert skew.salted_join(large, small.select("k"), ["k"], F.col("i"), "left_semi").count() == 50
-    assert skew.salted_join(large, small.select("k"), ["k"], F.col("i"), "left_anti").count() == 2
+    assert skew.salted_join(large, small, ["k"], F.col("i"), least=least).count() == 50
+    assert skew.salted_join(large, small, ["k"], F.col("i"), "left", least).count() == 52
+    assert skew.salted_join(large, small.select("k"), ["k"], F.col("i"), "left_semi", least).count() == 50
+    assert skew.salted_join(large, small.select("k"), ["k"], F.col("i"), "left_anti", least).count() == 2
+    assert skew.salted_join(large.limit(0), small, ["k"], F.col("i"), least=least).count() == 0
+
+
+def test_only_heavy_keys_are_spread(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    heavy = skew.heavy_keys(df, ["k"], 100).collect()
+    assert [r.k for r in heavy] == [0] and heavy[0]._n > 1  # a third of all rows under one key
+    assert skew.heavy_keys(df, ["k"]) is None
+
+
+def test_carry_forward(spark):
+    rows = [(i % 2, i, f"v{i}" if i % 7 == 3 else None) for i in range(1000)]
+    got = {(r.k, r.t): r.c for r in skew.carry_forward(spark.createDataFrame(rows, "k int, t int, v string"), ["k"], ["t"], "v", "c").collect()}
+    last = {}
+    for k, t, v in rows:
+        last[k] = v or last.get(k)
+        assert got[k, t] == last[k]
 
 
 def test_range_merge_without_input():
     assert sum(b.num_rows for b in versions.merge_range(iter([]))) == 0
-    empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())], names=list("abcde"))
-    assert sum(b.num_rows for b in versions.merge_range(iter([empty]))) == 0
+    empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())], names=list("rabcde"))
+    assert sum(b.num_rows for b in versions.merge_range(versions.sorted_blocks(iter([empty])))) == 0
+
+
+@pytest.mark.parametrize("runs", [1, 2, 40])
+def test_merge_of_sorted_inputs_reads_them_in_order(runs):
+    """Any number of sorted inputs come out as one, with one block of each open at a time."""
+    rnd = random.Random(runs)
+    rows = [(f"r{i % runs}", f"e{rnd.randrange(40)}", "a", rnd.randrange(50), None, str(i)) for i in range(4000)]
+    ordered = sorted(rows, key=lambda r: r[:4])
+    names, types = list("rabcde"), [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ordered[at : at + 700]), types)], names=names) for at in range(0, 4000, 700)]
+    blocks = [r for b in versions.sorted_blocks(iter(batches)) for r in b.to_pylist()]
+    assert len(blocks) >= runs and max(pa.ipc.open_stream(b["block"]).read_all().num_rows for b in blocks) <= versions.BLOCK_ROWS
+    blocks.sort(key=lambda b: (b["entity_id"], b["attribute"], b["at"]))
+    got = list(versions.merged(iter([pa.RecordBatch.from_pylist(blocks)])))
+    assert [g[:3] for g in got] == sorted(r[1:4] for r in rows)
+    assert sorted(g[4] for g in got) == sorted(r[5] for r in rows)
 
 
 def test_found_queries_on_empty_tables(spark, small, tmp_path):
