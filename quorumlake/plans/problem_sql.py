@@ -182,30 +182,42 @@ def bound(v: str, i: int, name: str) -> str:
 
 
 CP = " union all ".join(
-    f"select payload_id, tier || '/' || pos as parent_key, '{child}' as child_key, {bound(given(*names), i, end)} as cp from {RAID}"
+    f"select payload_id, tier || '/' || pos as parent_key, '{child}' as child_key, {bound(given(*names), i, end)} as cp, "
+    f"'boss_cp_' || case json_type({given(*names)}) when 'ARRAY' then 'pair' when 'OBJECT' then 'bounds' else 'range_text' end as variant from {RAID}"
     for names, ends in ((("cpRange", "cp_range"), ("min", "max")), (("cpRangeBoost", "boostedCpRange"), ("boosted_min", "boosted_max")))
     for i, (child, end) in enumerate(zip(ends, ("min", "max")))
 )
 STATS = " union all ".join(
-    f"select payload_id, cast(pos as varchar) as parent_key, '{stat}' as child_key, cast(cast(json_extract_string({v}, case json_type({v}) when 'OBJECT' then '$.value' else '$' end) as double) as bigint) as stat from {MEGA}"
+    f"select payload_id, cast(pos as varchar) as parent_key, '{stat}' as child_key, cast(cast(json_extract_string({v}, case json_type({v}) when 'OBJECT' then '$.value' else '$' end) as double) as bigint) as stat, "
+    f"'mega_stat_' || case json_type({v}) when 'OBJECT' then 'boxed' when 'VARCHAR' then 'number_text' else 'number' end as variant from {MEGA}"
     for stat, v in (
         ("base_attack", given("stats.base_attack", "stats.baseAttack")), ("base_defense", given("stats.base_defense")), ("base_stamina", given("stats.base_stamina", "stats.base_hp"))
     )
 )
 WEATHER = given("weatherBoost.names")
+NAMES = f"""
+select payload_id, 'boss_name' as child_kind, p as parent_key, k as child_key, false as is_text from (
+  select payload_id, tier || '/' || pos as p, r, unnest(json_keys(r, '$.names')) as k from {RAID}) where json_type(r, '$.names."' || k || '"') <> 'NULL'
+union all select payload_id, 'weather_name', json_extract_string(r, '$.type'), 'English', true from {TYPES} where json_type({WEATHER}) = 'VARCHAR'
+union all select payload_id, 'weather_name', t, k, false from (
+  select payload_id, json_extract_string(r, '$.type') as t, r, unnest(json_keys({WEATHER})) as k from {TYPES} where json_type({WEATHER}) = 'OBJECT'
+) where json_type(r, '$.weatherBoost.names."' || k || '"') <> 'NULL'"""
 P6 = f"""
 select payload_id, 'boss' as child_kind, tier as parent_key, cast(pos as varchar) as child_key from {RAID} where json_type(r) = 'OBJECT'
-union all select payload_id, 'boss_name', p, k from (
-  select payload_id, tier || '/' || pos as p, r, unnest(json_keys(r, '$.names')) as k from {RAID}) where json_type(r, '$.names."' || k || '"') <> 'NULL'
+union all select payload_id, child_kind, parent_key, child_key from ({NAMES})
 union all select payload_id, 'boss_cp', parent_key, child_key from ({CP}) where cp is not null
-union all select payload_id, 'weather_name', json_extract_string(r, '$.type'), 'English' from {TYPES} where json_type({WEATHER}) = 'VARCHAR'
-union all select payload_id, 'weather_name', t, k from (
-  select payload_id, json_extract_string(r, '$.type') as t, r, unnest(json_keys({WEATHER})) as k from {TYPES} where json_type({WEATHER}) = 'OBJECT'
-) where json_type(r, '$.weatherBoost.names."' || k || '"') <> 'NULL'
 union all select payload_id, 'mega_stat', parent_key, child_key from ({STATS}) where stat is not null"""
 
 ORACLE_SQL = {
     "p6_found": P6,
+    "p6_cp_bounds": f"select payload_id, parent_key, child_key, variant, cp from ({CP}) where cp is not null",
+    "p6_mega_stats": f"select payload_id, parent_key, child_key, variant, stat from ({STATS}) where stat is not null",
+    "p6_variants": f"""
+select child_kind, variant, count(*) as n_rows, count(distinct payload_id) as n_payloads from (
+  select 'boss_cp' as child_kind, variant, payload_id from ({CP}) where cp is not null
+  union all select 'mega_stat', variant, payload_id from ({STATS}) where stat is not null
+  union all select child_kind, child_kind || '_' || case when child_kind = 'weather_name' and is_text then 'text' else 'labels' end, payload_id from ({NAMES})
+) group by all""",
     "p1_found": P1,
     "p3_found": P3,
     "p3_summary": f"select table_name, period, change_kind, count(*) as n_records from ({P3}) group by all",

@@ -166,14 +166,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_cp_bounds(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of CP bounds, all structural variants unified."""
-    rows = variants.subtype(variants.nested_tables(table(spark, d, "raw_payloads")), "boss_cp")
-    return rows.select("payload_id", "parent_key", "child_key", "variant", F.col("number_value").cast("bigint").alias("cp"))
+    return variants.supertype(variants.nested_tables(table(spark, d, "raw_payloads")), "boss_cp").withColumnRenamed("value", "cp")
 
 
 def p6_mega_stats(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of mega stats, all structural variants unified."""
-    rows = variants.subtype(variants.nested_tables(table(spark, d, "raw_payloads")), "mega_stat")
-    return rows.select("payload_id", "parent_key", "child_key", "variant", F.col("number_value").cast("bigint").alias("stat"))
+    return variants.supertype(variants.nested_tables(table(spark, d, "raw_payloads")), "mega_stat").withColumnRenamed("value", "stat")
+
+
+def p6_variants(spark: SparkSession, d: str) -> DataFrame:
+    """How many payloads and rows each structural variant has."""
+    rows = variants.nested_tables(table(spark, d, "raw_payloads")).filter("child_kind <> 'boss'")
+    return rows.groupBy("child_kind", "variant").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("payload_id").alias("n_payloads"))
 
 
 def payload_files(spark: SparkSession, d: str) -> DataFrame:
@@ -189,15 +193,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_unified(spark: SparkSession, d: str) -> DataFrame:
-    """All files in one consistent table, renamed fields under one name."""
+    """All files in one consistent table: renamed fields under one name, every field with one type, misfits marked."""
     files = payload_files(spark, d)
-    return drift.unified_records(files, drift.canonical_names(drift.schema_changes(files)))
+    return drift.unified_records(files, drift.name_versions(drift.schema_changes(files)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_snapshot_history, p3_found, p3_summary, p4_found, p4_cascade, p4_report,
-        p6_found, p6_cp_bounds, p6_mega_stats, p7_found, p7_unified,
+        p6_found, p6_cp_bounds, p6_mega_stats, p6_variants, p7_found, p7_unified,
     )
 }

@@ -148,7 +148,7 @@ def test_cascade_reaches_a_fixpoint_on_a_cycle(spark):
 
 
 def rows_of(endpoint, doc):
-    return {(k, p, c): (v, x) for k, v, p, c, x in variants.ROUTES[endpoint](doc)}
+    return {(k, p, c): (v, x) for k, v, p, c, x in variants.FILES[endpoint](doc)}
 
 
 def test_states():
@@ -178,6 +178,44 @@ def test_names_weather_and_stats():
     assert rows_of("raidboss", {"currentList": []}) == rows_of("raidboss", []) == rows_of("types", {}) == {}
 
 
+def deep(n):
+    return '{"a": ' * n + "1" + "}" * n
+
+
+def test_deep_payloads_beside_good_ones(spark):
+    """A payload nested thousands of levels deep parses; neither problem fails on it."""
+    good = '{"currentList": {"t": [{"id": "a", "cpRange": [1, 2]}]}}'
+    bad = f'{{"currentList": {{"t": [{{"id": {deep(3000)}, "names": {deep(3000)}, "cpRange": {deep(2500)}}}]}}}}'
+    rows = [(1, "m", "raidboss", 1, good), (2, "m", "raidboss", 2, bad), (3, "m", "raidboss", 3, good), (4, "m", "x", 1, f'[{{"x": {deep(3000)}}}]'), (5, "m", "x", 2, '[{"y": 1}]')]
+    files = spark.createDataFrame(rows, FILES)
+    got = {(r.payload_id, r.child_kind, r.child_key) for r in variants.nested_tables(files).collect()}
+    assert {(1, "boss_cp", "min"), (2, "boss", "0"), (3, "boss_cp", "max")} <= got
+    changes = {(r.payload_id, r.field_path, r.change_kind) for r in drift.schema_changes(files).collect()}
+    assert (2, "currentList.t.id", "retyped") in changes and (5, "x", "removed") in changes
+    assert drift.unified_records(files, drift.name_versions(drift.schema_changes(files))).count() > 5
+
+
+def test_json_text_of_any_depth():
+    for v in ({"b": [1, {"c": None}, []], "a": "é\"", "d": {}}, [], "x", 1.5, [[["y"]]]):
+        text = variants.json_text(v)
+        real = json.dumps
+        json.dumps = lambda x, **k: (_ for _ in ()).throw(RecursionError) if isinstance(x, (dict, list)) and x else real(x, **k)  # noqa: B023
+        try:
+            assert variants.json_text(v) == text
+        finally:
+            json.dumps = real
+
+
+def test_subtypes_are_typed_tables_with_their_parents_keys(spark, tmp_path):
+    doc = {"currentList": {"t": [{"id": "x", "cpRange": [1, 2], "cpRangeBoost": "3-4"}, {"id": "y", "names": {"English": "Y"}, "cp_range": {"min": 5}}]}}
+    rows = variants.nested_tables(spark.createDataFrame([(1, "raidboss", json.dumps(doc))], "payload_id bigint, endpoint string, payload string"))
+    tables = variants.subtype_tables(rows, f"{tmp_path}/t")
+    assert set(tables) == {"boss_cpRange", "boss_cp_range_names", "boss_cp_pair", "boss_cp_range_text", "boss_cp_bounds", "boss_name_labels"}
+    assert {tuple(r) for r in tables["boss_cp_range_text"].collect()} == {(1, "t/0", "boosted_min", 3), (1, "t/0", "boosted_max", 4)}
+    assert dict(tables["boss_cp_pair"].dtypes)["value"] == "bigint" and dict(tables["boss_name_labels"].dtypes)["value"] == "string"
+    assert {tuple(r) for r in variants.subtype(rows, "boss_cp", "boss_cp_bounds").collect()} == {(1, "t/1", "min", 5)}
+
+
 def test_nested_tables_skip_what_does_not_parse(spark):
     deep = "[" * 200_000
     rows = [(1, "raidboss", '{"currentList": {"t": [{"id": "a"}]}}'), (2, "raidboss", '{"currentList": {"t": [{"id"'), (3, None, "[]"), (4, "mega_pokemon", None), (5, "types", ""), (6, "types", deep)]
@@ -232,13 +270,8 @@ def test_whole_table_equals_a_plain_walk(spark, small):
 # ---- drift --------------------------------------------------------------------------------------
 
 
-def profiled(endpoint, doc):
-    names = ["path", "parent", "field", "pooled", "types", "filled", "identities", "sketch", "aligned"]
-    return {r[0]: dict(zip(names, r)) for r in drift.profile(endpoint, doc)}
-
-
 def compared(endpoint, old, new):
-    return set(drift.compare(profiled(endpoint, old), profiled(endpoint, new)))
+    return set(drift.compare(drift.File(endpoint, old), drift.File(endpoint, new)))
 
 
 def test_rename_needs_values_that_carry_over():
@@ -295,13 +328,99 @@ def test_schema_changes_of_deliveries(spark):
     assert drift.schema_changes(spark.createDataFrame([], FILES)).count() == 0
 
 
+def unified(spark, rows):
+    files = spark.createDataFrame(rows, FILES)
+    out = drift.unified_records(files, drift.name_versions(drift.schema_changes(files))).collect()
+    keys = [(r.payload_id, r.record_key, r.field) for r in out]
+    assert len(keys) == len(set(keys))
+    return out
+
+
 def test_unified_records_use_one_name(spark):
     j = json.dumps
     rows = [(1, "m", "x", 1, j([{"id": i, "power": i * 7} for i in range(5)])), (2, "m", "x", 2, j([{"id": i, "strength": i * 7} for i in range(5)]))]
-    files = spark.createDataFrame(rows, FILES)
-    names = drift.canonical_names(drift.schema_changes(files))
-    out = drift.unified_records(files, names)
-    assert {r["field"] for r in out.collect()} == {"id", "power"} and out.count() == 20
+    out = unified(spark, rows)
+    assert {r["field"] for r in out} == {"id", "power"} and len(out) == 20
+
+
+def test_a_rename_holds_for_its_own_series_and_time(spark):
+    j = json.dumps
+    named = lambda **f: j([{"id": i, **{k: f"{v}{i}" for k, v in f.items()}} for i in range(6)])
+    rows = [
+        (1, "m", "x", 1, named(zlabel="a")), (2, "m", "x", 2, named(code="a")), (3, "m", "x", 3, named(code="a", zlabel="q")),  # the old name comes back for something else
+        (4, "m", "types", 1, named(zlabel="b", code="c")), (5, "o", "x", 2, named(code="a")), (6, "m", "x", 2, "{"), (7, None, "x", 1, named(code="n")),
+    ]
+    got = {}
+    for r in unified(spark, rows):
+        got.setdefault(r.payload_id, set()).add((r.field, r.value and r.value[0]) if r.field != "id" else ("id", ""))
+    assert got[1] == got[2] == {("id", ""), ("zlabel", "a")}
+    assert got[3] == {("id", ""), ("zlabel", "a"), ("zlabel@3", "q")}
+    assert got[4] == {("id", ""), ("zlabel", "b"), ("code", "c")}
+    assert got[5] == {("id", ""), ("code", "a")} and got[7] == {("id", ""), ("code", "n")}
+
+
+def test_a_swap_of_two_names(spark):
+    j = json.dumps
+    rows = [(1, "m", "x", 1, j([{"id": i, "a": f"p{i}", "c": i} for i in range(6)])), (2, "m", "x", 2, j([{"id": i, "b": f"p{i}", "c": i} for i in range(6)])), (3, "m", "x", 3, j([{"id": i, "a": i, "d": f"p{i}"} for i in range(6)]))]
+    got = {(r.payload_id, r.field, r.value) for r in unified(spark, rows) if r.record_key == "1"}
+    assert {x for x in got if x[0] == 3} == {(3, "id", "1"), (3, "a", "p1"), (3, "c", "1")}
+
+
+def test_one_type_per_field_and_misfits(spark):
+    rows = [(1, "m", "x", 1, json.dumps([{"n": 1, "s": "a"}, {"n": 2.5, "s": "b"}, {"n": " 3 ", "s": 4}, {"n": "many", "s": ["c"]}, {"n": None, "s": True}, {"n": 7, "s": "z"}]))]
+    got = {(r.record_key, r.field): (r.json_type, r.unified_type, r.value, r.misfit) for r in unified(spark, rows)}
+    assert got["0", "n"] == ("number", "number", "1", False) and got["2", "n"] == ("string", "number", "3", False) and got["3", "n"] == ("string", "number", None, True)
+    assert got["4", "n"] == (None, "number", None, False)
+    assert got["2", "s"] == ("number", "string", "4", False) and got["3", "s"] == ("array", "string", None, True) and got["4", "s"] == ("boolean", "string", "true", False)
+
+
+def test_unified_table_against_a_plain_walk(spark, small):
+    """The whole table: every record and field once, and the values the files have."""
+    from quorumlake.plans.problems import p7_unified
+
+    want = defaultdict(int)
+    for r in spark.read.parquet(f"{small}/raw_payloads.parquet").collect():
+        try:
+            doc = json.loads(r.payload)
+        except ValueError:
+            continue
+        groups = [(f"currentList.{t}/", bs) for t, bs in doc["currentList"].items()] if r.endpoint == "raidboss" and isinstance(doc.get("currentList"), dict) else [("", doc)] if isinstance(doc, list) else []
+        for at, records in groups:
+            for i, rec in enumerate(records or ()):
+                stack = [rec]
+                while stack:
+                    for k, v in stack.pop().items():
+                        if isinstance(v, dict) and k not in ("names", "counter", "counters"):
+                            stack.append(v)
+                        else:
+                            want[r.payload_id, f"{at}{i}"] += 1
+    rows = p7_unified(spark, small).collect()
+    got = defaultdict(int)
+    for r in rows:
+        got[r.payload_id, r.record_key] += 1
+    assert got == want and len({(r.payload_id, r.record_key, r.field) for r in rows}) == len(rows)
+    types = defaultdict(set)
+    for r in rows:
+        types[r.endpoint, r.field].add(r.unified_type)
+        assert r.misfit == (r.json_type is not None and r.value is None)
+    assert all(len(t) == 1 for t in types.values())
+    assert sum(r.misfit for r in rows) < 0.2 * len(rows)
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 30])
+def test_changes_across_the_borders_of_ranges(spark, ranges):
+    """One series holds most files and so spans many ranges; every file meets the one before it."""
+    rows = [(s, "hot", "x", s, json.dumps([{"id": 1, f"f{s // 2}": s // 2}])) for s in range(40)] + [(100 + s, f"m{s}", "x", 1, "[]") for s in range(5)]
+    want = {(s, f"f{s // 2 - 1}", "removed") for s in range(2, 40, 2)} | {(s, f"f{s // 2}", "added") for s in range(2, 40, 2)}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = drift.schema_changes(spark.createDataFrame(rows, FILES)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.payload_id, r.field_path, r.change_kind) for r in found} == want and len(found) == len(want)
 
 
 # ---- skew helpers -------------------------------------------------------------------------------
