@@ -194,36 +194,39 @@ def gender_of(record: Column, signals: list[Mapping[str, Any]], record_key: Colu
     return out
 
 
-def form_token(text: Column, species: Column) -> Column:
-    """The part of a form or costume text that tells it apart: without gender words and without the
-    species' own name at either end; null if nothing is left."""
-    t = F.regexp_replace(F.trim(F.lower(text)), r"\(female\)|\(male\)", "")
-    t = F.btrim(F.regexp_replace(t, "[^a-z0-9]+", "-"), F.lit("-"))
-    t = F.btrim(F.regexp_replace(t, "(?:^|-)(?:female|male)(?:-|$)", "-"), F.lit("-"))
-    t = F.regexp_replace(t, "-{2,}", "-")
-    n = F.length(species)
-    t = (
-        F.when(t == species, F.lit(None).cast("string"))
-        .when(t.startswith(F.concat(species, F.lit("-"))), F.substring(t, n + 2, F.length(t)))
-        .when(t.endswith(F.concat(F.lit("-"), species)), F.substring(t, F.lit(1), F.length(t) - n - 1))
-        .otherwise(t)
-    )
-    return F.when(t != "", t)
+#: Fixed: words of a variant's name that say its gender, which has a place of its own.
+GENDER_WORDS = ["female", "male"]
+
+
+def variant_words(text: Column, species: Column) -> Column:
+    """The words of a variant's name that tell it apart: without gender words, and without the words of
+    its species where they open or close it."""
+    spoken = F.regexp_replace(F.lower(text), r"\((" + "|".join(GENDER_WORDS) + r")\)", "")
+    words = F.filter(F.split(spoken, "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(GENDER_WORDS))
+    own = F.split(species, "-")
+    n, k = F.size(words), F.size(own)
+    opens = F.slice(words, F.lit(1), k) == own
+    closes = F.slice(words, F.greatest(n - k + 1, F.lit(1)), k) == own
+    return F.when(opens, F.slice(words, k + 1, n)).when(closes, F.slice(words, F.lit(1), n - k)).otherwise(words)
 
 
 def form_identity(slug: Column, form: Column, costume: Column, gender: Column) -> Column:
-    """struct(form_token, costume_token, gender) in which all spellings of one variant are equal.
+    """struct(form_token, costume_token, gender), equal for all spellings of one variant.
 
-    slug is `<number>-<name>`; a form called standard has no token.
+    slug is `<number>-<name>`, or the name alone. A token is a text's telling words with hyphens, null if
+    there are none; a form that is just called standard has none either.
     """
-    species = F.when(slug.contains("-"), F.regexp_replace(slug, "^[^-]*-", "")).otherwise(slug)
-    f = form_token(form, species)
+    parts = F.split(slug, "-")
+    species = F.coalesce(F.array_join(F.slice(parts, F.lit(2), F.size(parts)), "-"), F.lit(""))
+    species = F.when(species == "", slug).otherwise(species)
+    forms, costumes = variant_words(form, species), variant_words(costume, species)
+    token = lambda words: F.when(F.size(words) > 0, F.array_join(words, "-"))
     return F.struct(
-        F.when(f != "standard", f).alias("form_token"), form_token(costume, species).alias("costume_token"), gender.alias("gender")
+        token(F.when(forms != F.array(F.lit("standard")), forms)).alias("form_token"), token(costumes).alias("costume_token"), gender.alias("gender")
     )
 
 
 def form_entity_id(prefix: str, raw_id: Column, identity: Column) -> Column:
-    """`<prefix>_<id>_form_<tokens and gender>`, `standard` where there are none."""
-    parts = F.concat_ws("_", identity["form_token"], identity["costume_token"], F.when(identity["gender"] != "unknown", identity["gender"]))
-    return F.concat(F.lit(f"{prefix}_"), raw_id, F.lit("_form_"), F.when(parts != "", parts).otherwise("standard"))
+    """`<prefix>_<id>_form_` and what the identity says, or `standard` if it says nothing."""
+    known = F.array_compact(F.array(identity["form_token"], identity["costume_token"], F.nullif(identity["gender"], F.lit("unknown"))))
+    return F.concat(F.lit(f"{prefix}_"), raw_id, F.lit("_form_"), F.array_join(F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("standard"))), "_"))

@@ -2,34 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.operators.profiling import all_paths
+from quorumlake.operators.skew import salted_join
+from quorumlake.session import cut
 from quorumlake.sources.templates import Template
 
+#: Fixed: the buckets of a replay.
 BUCKETS = ["matched", "overridden", "collision", "gap", "unmapped"]
 
 
-def replay(claims: DataFrame, canonical: DataFrame, mapped: Column, aliases: dict[str, str] | None = None) -> DataFrame:
+def replay(
+    claims: DataFrame, canonical: DataFrame, mapped: Column, aliases: dict[str, str] | None = None, candidates: Sequence[tuple[str, Column]] | None = None
+) -> DataFrame:
     """Every claim with its bucket.
 
-    canonical: (entity_id, attribute, value_json). mapped says for a claim whether its entity belongs
-    to a table at all. A claim is unmapped, else matched if the stored value equals it or (stored as
-    a list) holds it, else overridden if the winner (lowest priority, first emitted) matches and is
-    another source's, else a collision if the winner is its own source's, else a gap.
+    canonical: (entity_id, attribute, value_json) and, with several tables, table_name. candidates are
+    looked up in order as (table, the claim's key there); the first table that has the claim's attribute
+    under the key counts, null keys are skipped; without them the key is entity_id. mapped says for a
+    claim whether its entity belongs to a table at all. A claim is unmapped, else matched if the stored
+    value equals it or (stored as a list) holds it, else overridden if the winner (lowest priority, first
+    emitted) matches and is another source's, else a collision if the winner is its own source's, else a
+    gap. The ledger is written once (`cut`); joins are salted for entities with many claims.
     """
     names = F.create_map(*[F.lit(x) for p in (aliases or {}).items() for x in p]) if aliases else None
     attribute = F.coalesce(F.try_element_at(names, F.col("attribute")), F.col("attribute")) if aliases else F.col("attribute")
     key = ["entity_id", "_attribute"]
-    ledger = claims.filter("value_json is not null").withColumn("_attribute", attribute)
+    ledger = cut(claims.filter("value_json is not null").withColumn("_attribute", attribute))
     winners = ledger.groupBy(*key).agg(
         F.min_by(F.struct("value_json", "source"), F.struct("priority", "seq")).alias("_winner")
     )
-    stored = canonical.groupBy("entity_id", F.col("attribute").alias("_attribute")).agg(F.first("value_json").alias("_stored"))
-    judged = ledger.join(winners, key).join(stored, key, "left")
+    if candidates is None:
+        candidates = [("", F.col("entity_id"))]
+    tables = canonical if "table_name" in canonical.columns else canonical.withColumn("table_name", F.lit(""))
+    stored = tables.groupBy("table_name", "entity_id", F.col("attribute").alias("_attribute")).agg(F.min("value_json").alias("_stored"))
+    # one lookup per group of claims, not per claim
+    groups = winners
+    for i, (name, entity) in enumerate(candidates):
+        side = stored.filter(F.col("table_name") == name).select(F.col("entity_id").alias("_key"), "_attribute", F.struct("_stored").alias(f"_s{i}"))
+        groups = groups.withColumn("_key", entity).join(side, ["_key", "_attribute"], "left").drop("_key")
+    groups = groups.withColumn("_stored", F.coalesce(*[F.col(f"_s{i}") for i in range(len(candidates))])["_stored"])
+    judged = salted_join(ledger, groups.select(*key, "_winner", "_stored"), key, F.struct("source", "seq"))
 
     def same(v: Column) -> Column:
         listed = F.try_parse_json("_stored").try_cast("array<variant>")

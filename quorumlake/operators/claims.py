@@ -13,8 +13,14 @@ from quorumlake.operators.extract import compile_fields
 from quorumlake.sources.templates import TRUST, UNLISTED, SubRecords, Template
 
 CLAIM_COLUMNS = ["entity_id", "attribute", "source", "value_json", "priority", "seq"]
-#: Room for the parts of seq: attributes of a record, sub-records of a record, records of a file.
-ATTRIBUTES, MEMBERS = 1_000, 1_000_000
+
+
+def sequence(record: Column, group: Column | None = None, member: Column | None = None, attribute: Column | None = None) -> Column:
+    """The place of a claim in its source: the record's place, then the group of sub-records (0: the record
+    itself), the member within it and the attribute. Structs compare part by part, so none can run into
+    the next however large it is."""
+    part = lambda c: (F.lit(0) if c is None else c).cast("bigint")
+    return F.struct(record.alias("record"), part(group).alias("group"), part(member).alias("member"), part(attribute).alias("attribute"))
 
 
 def priority_of(source: Column, trust: Mapping[str, int] = TRUST, unlisted: int = UNLISTED) -> Column:
@@ -23,17 +29,21 @@ def priority_of(source: Column, trust: Mapping[str, int] = TRUST, unlisted: int
     return F.coalesce(F.try_element_at(ranks, source), F.lit(unlisted)) if trust else F.lit(unlisted)
 
 
-def unpivot_claims(df: DataFrame, entity: Column, attributes: Mapping[str, Column], source: str, priority: int, seq: Column) -> DataFrame:
+def unpivot_claims(
+    df: DataFrame, entity: Column, attributes: Mapping[str, Column], source: str, priority: int, record: Column, group: Column | None = None, member: Column | None = None
+) -> DataFrame:
     """Wide rows as claims: one per attribute whose value isn't null.
 
-    Values are JSON text already, or any column to_json can't take is written by its own cast. seq
-    (unique per row) orders the rows; attributes follow in the order given.
+    Values are JSON text already, or any column to_json can't take is written by its own cast. record,
+    group and member (together unique per row) order the rows; attributes follow in the order given.
     """
     cells = [F.struct(F.lit(a).alias("attribute"), c.cast("string").alias("value_json"), F.lit(i).alias("_i")) for i, (a, c) in enumerate(attributes.items())]
-    rows = df.select(entity.alias("entity_id"), (seq.cast("bigint") * ATTRIBUTES).alias("_s"), F.explode(F.array(*cells)).alias("_c"))
+    places = [record.alias("_r"), (F.lit(0) if group is None else group).alias("_g"), (F.lit(0) if member is None else member).alias("_m")]
+    rows = df.select(entity.alias("entity_id"), *places, F.explode(F.array(*cells)).alias("_c"))
     return rows.filter("entity_id is not null and _c.value_json is not null").select(
-        "entity_id", "_c.attribute", F.lit(source).alias("source"), "_c.value_json", F.lit(priority).alias("priority"), (F.col("_s") + F.col("_c._i")).alias("seq")
-    )
+        "entity_id", "_c.attribute", F.lit(source).alias("source"), "_c.value_json", F.lit(priority).alias("priority"),
+        sequence(F.col("_r"), F.col("_g"), F.col("_m"), F.col("_c._i")).alias("seq"),
+    )
 
 
 def identity_of(t: Template) -> Column:
@@ -51,7 +61,7 @@ def record_claims(records: DataFrame, t: Template, trust: Mapping[str, int] = TR
     raw_id = identity_of(t)
     entity = F.concat(F.lit(f"{t.prefix}_"), raw_id)
     priority = trust.get(t.source_key, UNLISTED)
-    out = unpivot_claims(records, entity, attributes, t.source_key, priority, F.col("pos") * MEMBERS)
+    out = unpivot_claims(records, entity, attributes, t.source_key, priority, F.col("pos"))
     for n, sub in enumerate(t.sub_records):
         out = out.unionByName(sub_claims(records, t, sub, n, raw_id, priority))
     return out
@@ -68,8 +78,10 @@ def sub_claims(records: DataFrame, t: Template, sub: SubRecords, number: int, ra
     name = V.as_text(fields["name"]) if "name" in fields else F.lit(None).cast("string")
     base = records.select("pos", raw_id.alias("_id"), name.alias("_name"), holder.alias("_h")).filter("_id is not null")
     if sub.container_type == "dict":
-        members = base.select("pos", "_id", "_name", F.explode(V.entries(F.col("_h"))).alias("record_key", "record"))
-        members = members.withColumn("_p", F.lit(0))
+        # VARIANT sorts the members of an object by name, so their numbers are the same on every run
+        listed = F.map_entries(V.entries(F.col("_h")))
+        members = base.select("pos", "_id", "_name", F.posexplode(listed).alias("_p", "_e"))
+        members = members.select("pos", "_id", "_name", F.col("_e.key").alias("record_key"), F.col("_p"), F.col("_e.value").alias("record"))
     else:
         members = base.select("pos", "_id", "_name", F.lit(None).cast("string").alias("record_key"), F.posexplode(V.items(F.col("_h"))).alias("_p", "record"))
     members = members.filter(V.kind(F.col("record")) == "object")
@@ -92,8 +104,7 @@ def sub_claims(records: DataFrame, t: Template, sub: SubRecords, number: int, ra
         "costume_name": as_json(F.when(~blank("_costume"), F.col("_costume"))),
         "gender": as_json(F.col("_gender")),
     } | {a: V.canonical(c) for a, c in mapped.items() if a not in ("form_name", "costume_name")}
-    seq = F.col("pos") * MEMBERS + (number + 1) * 10_000 + F.col("_p")
-    return unpivot_claims(named, entity, attributes, t.source_key, priority, seq)
+    return unpivot_claims(named, entity, attributes, t.source_key, priority, F.col("pos"), F.lit(number + 1), F.col("_p"))
 
 
 def ledger(parts: Sequence[DataFrame]) -> DataFrame:
@@ -103,7 +114,7 @@ def ledger(parts: Sequence[DataFrame]) -> DataFrame:
     """
     out = None
     for i, p in enumerate(parts):
-        one = p.select(*CLAIM_COLUMNS[:-1], F.struct(F.lit(i).alias("part"), F.col("seq").cast("bigint").alias("at")).alias("seq"))
+        one = p.select(*CLAIM_COLUMNS[:-1], F.struct(F.lit(i).alias("part"), F.col("seq").alias("at")).alias("seq"))
         out = one if out is None else out.unionByName(one)
     return out
 

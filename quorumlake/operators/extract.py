@@ -23,10 +23,27 @@ def key_order(path: list[str]) -> Column:
     return F.json_object_keys(F.get_json_object("text", "$" + "".join(f"['{p}']" for p in path)))
 
 
+def members_in_order(path: list[str], v: Column) -> Column:
+    """The members of an object as an array of (pos from 1, key, value), pos as in the document's text.
+
+    Both lists of members are sorted by key and zipped, so a document of n members costs n log n.
+    """
+    keys = F.array_sort(F.transform(key_order(path), lambda k, i: F.struct(k.alias("key"), i.alias("i"))))
+    by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    found = F.array_sort(F.map_entries(V.entries(v)), by_key)
+    return F.zip_with(keys, found, lambda k, m: F.struct((k["i"] + 1).alias("pos"), m["key"].alias("key"), m["value"].alias("value")))
+
+
+def place(at: Column, member: Column | None = None) -> Column:
+    """The place of a record in its document."""
+    return F.struct(at.cast("bigint").alias("at"), (F.lit(0) if member is None else member).cast("bigint").alias("member")).alias("pos")
+
+
 def unwrap(documents: DataFrame, t: Template) -> DataFrame:
     """(endpoint columns..., record, record_key, pos): the records of documents (doc, text).
 
-    pos numbers records in the order of the file. A missing path, another shape than the mode's or
+    pos, a struct (at, member), orders records as the file does: at counts its members, member the
+    elements of a member that is a list itself. A missing path, another shape than the mode's or
     null documents give no record; list elements that are no objects are dropped.
     """
     others = [c for c in documents.columns if c not in ("doc", "text")]
@@ -39,15 +56,14 @@ def unwrap(documents: DataFrame, t: Template) -> DataFrame:
         if t.key_becomes_field:
             parent = F.coalesce(V.field(F.col("_item"), t.key_becomes_field), V.field(F.col("_item"), "templateId"))
             record = F.when(parent.isNotNull(), with_field(record, t.key_becomes_field, parent)).otherwise(record)
-        return found.select(*others, record.alias("record"), F.lit(None).cast("string").alias("record_key"), F.col("pos").cast("bigint").alias("pos"))
-    base = documents.withColumn("_v", inner)
+        return found.select(*others, record.alias("record"), F.lit(None).cast("string").alias("record_key"), place(F.col("pos")))
+    base, member = documents.withColumn("_v", inner), F.lit(0)
     if t.mode == "top_level_list":
         found = base.select(*others, F.posexplode(V.items(F.col("_v"))).alias("pos", "record")).withColumn("record_key", F.lit(None).cast("string"))
     elif t.mode == "dict_of_lists":
-        keyed = base.select(*others, key_order(t.unwrap_path).alias("_keys"), F.explode(V.entries(F.col("_v"))).alias("record_key", "_list"))
-        found = keyed.select(*others, "_keys", "record_key", F.posexplode(V.items(F.col("_list"))).alias("_p", "record"))
-        rank = F.coalesce(F.array_position("_keys", F.col("record_key")), F.lit(0))
-        found = found.withColumn("pos", rank * F.lit(10_000_000) + F.col("_p"))
+        keyed = base.select(*others, F.explode(members_in_order(t.unwrap_path, F.col("_v"))).alias("_m"))
+        found = keyed.select(*others, F.col("_m.key").alias("record_key"), F.col("_m.pos").alias("pos"), F.posexplode(V.items(F.col("_m.value"))).alias("_p", "record"))
+        member = F.col("_p")
         if t.key_becomes_field:
             found = found.filter(V.kind(F.col("record")) == "object").withColumn(
                 "record", with_field(F.col("record"), t.key_becomes_field, F.col("record_key").cast("variant"))
@@ -55,10 +71,10 @@ def unwrap(documents: DataFrame, t: Template) -> DataFrame:
     elif t.mode == "single_object":
         found = base.select(*others, F.col("_v").alias("record"), F.lit(None).cast("string").alias("record_key"), F.lit(0).alias("pos"))
     else:  # dict_of_scalars
-        keyed = base.select(*others, key_order(t.unwrap_path).alias("_keys"), F.explode(V.entries(F.col("_v"))).alias("record_key", "_value"))
-        pair = F.create_map(F.lit(t.dict_key_field), F.col("record_key").cast("variant"), F.lit(t.dict_value_field), F.col("_value"))
-        found = keyed.select(*others, "record_key", F.to_variant_object(pair).alias("record"), F.array_position("_keys", F.col("record_key")).alias("pos"))
-    return found.filter(V.kind(F.col("record")) == "object").select(*others, "record", "record_key", F.col("pos").cast("bigint").alias("pos"))
+        keyed = base.select(*others, F.explode(members_in_order(t.unwrap_path, F.col("_v"))).alias("_m"))
+        pair = F.create_map(F.lit(t.dict_key_field), F.col("_m.key").cast("variant"), F.lit(t.dict_value_field), F.col("_m.value"))
+        found = keyed.select(*others, F.col("_m.key").alias("record_key"), F.to_variant_object(pair).alias("record"), F.col("_m.pos").alias("pos"))
+    return found.filter(V.kind(F.col("record")) == "object").select(*others, "record", "record_key", place(F.col("pos"), member))
 
 
 def compile_fields(t: Template) -> dict[str, Column]:
@@ -99,9 +115,9 @@ def keyed_lists(documents: DataFrame, key: str, values: str) -> DataFrame:
 def list_or_object(documents: DataFrame) -> DataFrame:
     """(record_key, record, pos): members of a document that is a list or an object, whichever it is."""
     lists = documents.select(F.lit(None).cast("string").alias("record_key"), F.posexplode(V.items(F.col("doc"))).alias("pos", "record"))
-    keyed = documents.select(F.json_object_keys("text").alias("_keys"), F.explode(V.entries(F.col("doc"))).alias("record_key", "record"))
-    objects = keyed.select("record_key", (F.array_position("_keys", F.col("record_key")) - 1).cast("int").alias("pos"), "record")
-    return lists.unionByName(objects).filter(V.kind(F.col("record")) == "object").select("record_key", "record", F.col("pos").cast("bigint").alias("pos"))
+    keyed = documents.select(F.explode(members_in_order([], F.col("doc"))).alias("_m"))
+    objects = keyed.select(F.col("_m.key").alias("record_key"), (F.col("_m.pos") - 1).cast("int").alias("pos"), F.col("_m.value").alias("record"))
+    return lists.unionByName(objects).filter(V.kind(F.col("record")) == "object").select("record_key", "record", place(F.col("pos")))
 
 
 def passthrough(texts: DataFrame, column: str, key: str = "templateId") -> DataFrame:

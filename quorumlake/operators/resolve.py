@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.operators.skew import salted_join
+from quorumlake.session import cut
 
 KEY = ["entity_id", "attribute"]
 
@@ -32,22 +33,32 @@ def resolve(claims: DataFrame) -> DataFrame:
     )
 
 
-def discrepancies(claims: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+def disputed_claims(claims: DataFrame, written: bool = False) -> DataFrame:
+    """Every non-null claim of a group in which sources disagree, one row each, with the group's winner.
+
+    The same content as `discrepancies` without gathering a group in one row. The claims are written once
+    (unless they already are: written) and read for the winners and for the rows; groups that hold many
+    of them are salted.
+    """
+    said = claims.filter("value_json is not null").select(*KEY, "source", "value_json", "priority", "seq")
+    said = said if written else cut(said)
+    torn = resolve(said).filter("n_distinct > 1").select(*KEY, F.col("value_json").alias("resolved_value"), "winning_source")
+    return salted_join(said, torn, KEY, F.struct("source", "seq"))
+
+
+def discrepancies(claims: DataFrame, written: bool = False) -> DataFrame:
     """(entity_id, attribute, claims, resolved_value, winning_source, kind) where sources disagree.
 
     claims lists all non-null claims as emitted. kind is `self` if all come from one source. Only
     groups found to disagree are gathered; where a group may be too large for one row, take
     `disputed_claims`.
     """
-    resolved = resolve(claims) if resolved is None else resolved
-    torn = resolved.filter("n_distinct > 1").select(*KEY, F.col("value_json").alias("resolved_value"), "winning_source")
-    listed = (
-        claims.filter("value_json is not null")
-        .join(torn.select(*KEY), KEY, "left_semi")
-        .groupBy(*KEY)
+    grouped = (
+        disputed_claims(claims, written)
+        .groupBy(*KEY, "resolved_value", "winning_source")
         .agg(F.array_sort(F.collect_list(F.struct("seq", "source", "value_json"))).alias("_l"), F.min("source").alias("_a"), F.max("source").alias("_b"))
     )
-    return listed.join(torn, KEY).select(
+    return grouped.select(
         *KEY,
         F.transform("_l", lambda x: F.struct(x["source"].alias("source"), x["value_json"].alias("value"))).alias("claims"),
         "resolved_value",
@@ -56,18 +67,6 @@ def discrepancies(claims: DataFrame, resolved: DataFrame | None = None) -> DataF
     )
 
 
-def disputed_claims(claims: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
-    """Every non-null claim of a group in which sources disagree, one row each, with the group's winner.
-
-    The same content as `discrepancies` without gathering a group in one row; claims are spread over
-    salts, as one group may hold most of them.
-    """
-    resolved = resolve(claims) if resolved is None else resolved
-    torn = resolved.filter("n_distinct > 1").select(*KEY, F.col("value_json").alias("resolved_value"), "winning_source")
-    said = claims.filter("value_json is not null").select(*KEY, "source", "value_json", "priority", "seq")
-    return salted_join(said, torn, KEY, F.struct("source", "seq"))
-
-
 def pivot_entities(resolved: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """One row per entity with a JSON text column per attribute asked for."""
     return resolved.groupBy("entity_id").pivot("attribute", list(attributes)).agg(F.first("value_json", ignorenulls=True))

@@ -68,9 +68,8 @@ def build_ledger(spark: SparkSession, source: Source, keys: list[str]) -> DataFr
 
 
 def reconcile(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(resolved values, discrepancies) of a ledger."""
-    resolved = resolve(claims)
-    return resolved, discrepancies(claims, resolved)
+    """(resolved values, discrepancies) of a ledger that is written already."""
+    return resolve(claims), discrepancies(claims, written=True)
 
 
 def species_table(drafts: DataFrame, resolved: DataFrame) -> DataFrame:

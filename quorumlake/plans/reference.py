@@ -18,7 +18,6 @@ from quorumlake.sources.templates import template_from
 
 #: Trust of the sources that make claims about orders.
 ORDER_TRUST = {"order_desk": 2, "line_totals": 6, "customer_file": 7}
-PART_SIZE = 10**12
 
 
 def order_claims(spark: SparkSession, d: str) -> DataFrame:
@@ -35,15 +34,9 @@ def order_claims(spark: SparkSession, d: str) -> DataFrame:
     )
     file = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).select(F.col("o_orderkey").alias("k"), F.col("c_mktsegment").alias("segment"))
     parts = []
-    for i, (source, df, names) in enumerate(
-        [("order_desk", desk, ["total", "status", "priority"]), ("line_totals", sums, ["total", "status"]), ("customer_file", file, ["segment"])]
-    ):
-        one = claims.unpivot_claims(df, entity, {n: F.col(n) for n in names}, source, ORDER_TRUST[source], F.col("k"))
-        parts.append(one.withColumn("seq", F.col("seq") + F.lit(i * PART_SIZE)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for source, df, names in [("order_desk", desk, ["total", "status", "priority"]), ("line_totals", sums, ["total", "status"]), ("customer_file", file, ["segment"])]:
+        parts.append(claims.unpivot_claims(df, entity, {n: F.col(n) for n in names}, source, ORDER_TRUST[source], F.col("k")))
+    return claims.ledger(parts)
 
 
 def trust_resolve(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +73,7 @@ def eav_unpivot(spark: SparkSession, d: str) -> DataFrame:
     out = claims.unpivot_claims(
         p, F.concat(F.lit("part_"), F.col("p_partkey").cast("string")), {"brand": F.col("p_brand"), "type": F.col("p_type"), "size": size}, "parts", 1, F.col("p_partkey")
     )
-    return out.select("entity_id", "attribute", "value_json", "seq")
+    return out.select("entity_id", "attribute", "value_json", F.col("seq.record").alias("record"), F.col("seq.attribute").alias("place"))
 
 
 def eav_pivot(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +83,7 @@ def eav_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 def first_seen_entities(spark: SparkSession, d: str) -> DataFrame:
     """Entities with the place where each was first emitted."""
-    return resolve.first_seen(order_claims(spark, d))
+    return resolve.first_seen(order_claims(spark, d)).select("entity_id", F.col("first_seq.part").cast("bigint").alias("part"), F.col("first_seq.at.attribute").alias("place"))
 
 
 def upsert_resolved(spark: SparkSession, d: str) -> DataFrame:
@@ -422,7 +415,7 @@ def mega_records(spark: SparkSession, d: str) -> DataFrame:
     docs = p.select("payload_id", F.try_parse_json("payload").alias("doc"), F.col("payload").alias("text"))
     t = template_from({"source_key": "m", "endpoint": "mega", "identity_field": "pokemon_id", "entity_id_prefix": "mega", "field_mappings": {}})
     records = extract.unwrap(docs, t)
-    return records.select("payload_id", "pos", F.concat(F.lit(f"{t.prefix}_"), claims.identity_of(t)).alias("entity_id"), V.as_text(V.field(F.col("record"), "mega_name")).alias("mega_name"))
+    return records.select("payload_id", F.col("pos.at").alias("pos"), F.concat(F.lit(f"{t.prefix}_"), claims.identity_of(t)).alias("entity_id"), V.as_text(V.field(F.col("record"), "mega_name")).alias("mega_name"))
 
 
 def first_by_priority(spark: SparkSession, d: str) -> DataFrame:
@@ -471,7 +464,7 @@ def mega_by_template_key(spark: SparkSession, d: str) -> DataFrame:
     )
     r = F.col("record")
     return extract.unwrap(docs, t).select(
-        "payload_id", "pos", V.as_text(V.field(r, "mega_name")).alias("mega_name"), V.as_text(V.field(r, "base_defense")).alias("base_defense")
+        "payload_id", F.col("pos.at").alias("pos"), V.as_text(V.field(r, "mega_name")).alias("mega_name"), V.as_text(V.field(r, "base_defense")).alias("base_defense")
     )
 
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 CLAIMS = """(
-select 'order_' || o_orderkey as entity_id, a.attribute, 'order_desk' as source, a.v as value_json, 2 as priority, o_orderkey * 1000 + a.i as seq
+select 'order_' || o_orderkey as entity_id, a.attribute, 'order_desk' as source, a.v as value_json, 2 as priority, (0, o_orderkey, a.i) as seq
 from orders, lateral (values ('total', cast(cast(o_totalprice as decimal(18,2)) as varchar), 0), ('status', o_orderstatus, 1), ('priority', o_orderpriority, 2)) a(attribute, v, i)
 union all
-select 'order_' || k, a.attribute, 'line_totals', a.v, 6, k * 1000 + a.i + 1000000000000
+select 'order_' || k, a.attribute, 'line_totals', a.v, 6, (1, k, a.i)
 from (select l_orderkey k, sum(cast(l_extendedprice as decimal(18,2))) t, max(l_linestatus) s from lineitem group by 1),
 lateral (values ('total', cast(cast(t as decimal(28,2)) as varchar), 0), ('status', s, 1)) a(attribute, v, i)
 union all
-select 'order_' || o_orderkey, 'segment', 'customer_file', c_mktsegment, 7, o_orderkey * 1000 + 2000000000000 from orders join customer on o_custkey = c_custkey
+select 'order_' || o_orderkey, 'segment', 'customer_file', c_mktsegment, 7, (2, o_orderkey, 0) from orders join customer on o_custkey = c_custkey
 )"""
 RESOLVED = f"""
 select entity_id, attribute, arg_min(value_json, (priority, seq)) as value_json, arg_min(source, (priority, seq)) as winning_source,
@@ -31,16 +31,10 @@ def title(c: str) -> str:
 
 
 def token(t: str, species: str) -> str:
-    """A form text reduced to what tells it apart, as a chain of subselects would do it."""
-    a = f"regexp_replace(trim(lower({t})), '\\(female\\)|\\(male\\)', '', 'g')"
-    b = f"trim(regexp_replace({a}, '[^a-z0-9]+', '-', 'g'), '-')"
-    c = f"trim(regexp_replace({b}, '(?:^|-)(?:female|male)(?:-|$)', '-', 'g'), '-')"
-    d = f"regexp_replace({c}, '-{{2,}}', '-', 'g')"
-    e = (
-        f"case when {d} = {species} then null when starts_with({d}, {species} || '-') then substr({d}, length({species}) + 2) "
-        f"when ends_with({d}, '-' || {species}) then substr({d}, 1, length({d}) - length({species}) - 1) else {d} end"
-    )
-    return f"nullif({e}, '')"
+    """The words of a variant's text that tell it apart, with hyphens; null for none. species is one word."""
+    words = f"list_filter(string_split_regex(lower({t}), '[^a-z0-9]+'), lambda x: x not in ('', 'female', 'male'))"
+    rest = f"case when {words}[1] = {species} then {words}[2:] when {words}[-1] = {species} then {words}[:-2] else {words} end"
+    return f"nullif(array_to_string({rest}, '-'), '')"
 
 
 PART_WORDS = "split_part(p_name, ' ', 1)"
@@ -56,10 +50,9 @@ from (select p_partkey, {token(SPELLED, PART_WORDS)} as f, {token("case when p_s
 KEY = "trim(regexp_replace(upper(p_name || ' ' || (p_partkey % 50)), '[^A-Z0-9]+', '_', 'g'), '_')"
 FALLBACK = f"""
 with o as (select move, min(seq) seq, arg_min(brand, seq) brand from (
-  select case when p_partkey % 3 = 0 then {KEY} || '_FAST' else {KEY} end as move, p_partkey as seq, p_brand as brand from part
-  where p_partkey % 2 = 0 and p_partkey % 5 < 3) group by move)
+  select case when p_partkey % 3 = 0 then {KEY} || '_FAST' else {KEY} end as move, p_partkey as seq, p_brand as brand from part) group by move)
 select p.p_partkey, coalesce(a.seq, b.seq) as partner, case when a.seq is not null then a.brand else b.brand end as partner_brand
-from (select *, {KEY} as k from part where p_partkey % 2 = 0) p left join o a on a.move = p.k left join o b on p.p_size > 20 and b.move = p.k || '_FAST'"""
+from (select *, {KEY} as k from part) p left join o a on a.move = p.k left join o b on p.p_size > 20 and b.move = p.k || '_FAST'"""
 
 TEXT = "p_name || ' ' || p_brand || ' ' || p_type"
 OLD = """(select o_orderkey, case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end as o_orderstatus,
@@ -81,8 +74,11 @@ b as (select source, case when attribute = 'segment' then 'unmapped' when value_
 select source, count(*) filter (bucket = 'matched') as matched, count(*) filter (bucket = 'overridden') as overridden,
   count(*) filter (bucket = 'collision') as collision, count(*) filter (bucket = 'gap') as gap, count(*) filter (bucket = 'unmapped') as unmapped from b group by source"""
 
-ALL_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"]
-SIZES = " union all ".join(f"select '{t}' as table_name, count(*) as row_count, cast(least(3, (select count(*) from (describe {t}))) as bigint) as field_count from {t}" for t in ALL_TABLES)
+ALL_TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "species", "forms", "moves", "raid_bosses", "community_days", "change_history", "discrepancies", "source_registry", "raw_payloads", "benchmark",
+]
+SIZES = " union all ".join(f"select '{t}' as table_name, count(*) as row_count, cast((select count(*) from (describe {t})) as bigint) as field_count from {t}" for t in ALL_TABLES)
 
 ORACLE_SQL = {
     "trust_resolve": RESOLVED,
@@ -97,19 +93,19 @@ from {CLAIMS} c join ({RESOLVED}) r on r.entity_id = c.entity_id and r.attribute
 select 'user_' || user_id as entity_id, event_type as attribute, arg_max(cast(cast(value as decimal(18,2)) as varchar), event_id) as value_json, min(event_id) as first_seq
 from events group by 1, 2""",
     "eav_unpivot": """
-select 'part_' || p_partkey as entity_id, a.attribute, a.v as value_json, p_partkey * 1000 + a.i as seq from part,
+select 'part_' || p_partkey as entity_id, a.attribute, a.v as value_json, p_partkey as record, cast(a.i as bigint) as place from part,
 lateral (values ('brand', p_brand, 0), ('type', p_type, 1), ('size', case when p_size > 5 then cast(p_size as varchar) end, 2)) a(attribute, v, i) where a.v is not null""",
     "eav_pivot": f"""
 select entity_id, max(value_json) filter (attribute = 'total') as total, max(value_json) filter (attribute = 'status') as status,
   max(value_json) filter (attribute = 'priority') as priority, max(value_json) filter (attribute = 'segment') as segment from ({RESOLVED}) group by 1""",
-    "first_seen_entities": f"select entity_id, min(seq) as first_seq from {CLAIMS} where value_json is not null group by 1",
+    "first_seen_entities": f"select entity_id, cast(part as bigint) as part, cast(place as bigint) as place from (select entity_id, min(seq) as s, s[1] as part, s[3] as place from {CLAIMS} where value_json is not null group by 1)",
     "upsert_resolved": """
 select o_orderkey, 'user_' || o_custkey as entity, coalesce(v, 'none') as click_value, o_orderstatus as status from orders left join (
   select user_id, arg_max(cast(cast(value as decimal(18,2)) as varchar), event_id) as v from events where event_type = 'click' group by 1) on user_id = o_custkey""",
     "fallback_join": FALLBACK,
     "norm_name_join": """
 select s_suppkey, c_custkey, k from (select s_suppkey, 'ENTITY_' || substr(s_name, 10) as k from supplier)
-left join (select c_custkey, 'ENTITY_' || substr(c_name, 10) as k from customer where c_custkey % 3 = 0) using (k)""",
+left join (select c_custkey, 'ENTITY_' || substr(c_name, 10) as k from customer) using (k)""",
     "existence_flags": """
 select c_custkey, exists (select 1 from orders where o_custkey = c_custkey) as has_orders,
   exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT') as has_urgent from customer""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
@@ -138,5 +138,10 @@ def changed_endpoints(remote: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key by `order`."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+    """The first row of each key by `order` (ascending, nulls first); of equal rows the smallest.
+
+    One aggregate that combines before it shuffles, so a key may hold any share of the rows.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    first = F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], *rest))
+    return df.groupBy(*keys).agg(first.alias("_f")).select(*[c if c in keys else F.col(f"_f.`{c}`") for c in df.columns])

@@ -20,8 +20,8 @@ def write(path, data):
 def prepare(tmp_path):
     write(tmp_path / "t/a.yml", TEMPLATE)
     write(tmp_path / "t/b.yml", TEMPLATE | {"source_key": "pvpoke"})
-    write(tmp_path / "raw/pokeapi/2026-01-01T000000Z/moves.json", [{"id": 1, "name": "Tackle", "power": 40}, {"id": 2, "name": "Ember", "power": 1}, {"id": 2, "name": "Ember", "power": 2}])
-    write(tmp_path / "raw/pvpoke/2026-01-01T000000Z/moves.json", [{"id": 1, "name": "Tackle", "power": 35}])
+    write(tmp_path / "raw/pokeapi/2026-01-01T000000Z/moves.json", [{"id": 1, "name": "Nudge", "power": 40}, {"id": 2, "name": "Spark Jab", "power": 1}, {"id": 2, "name": "Spark Jab", "power": 2}])
+    write(tmp_path / "raw/pvpoke/2026-01-01T000000Z/moves.json", [{"id": 1, "name": "Nudge", "power": 35}])
     return domains.Source(tmp_path / "raw", load_templates(tmp_path / "t"))
 
 
@@ -41,10 +41,10 @@ def test_build_twice_changes_nothing(spark, tmp_path):
     build(spark, source, keys, db, {"moves": moves()})
     assert spark.read.parquet(str(db / "change_history.parquet")).count() == 0
     assert sorted(p.name for p in (tmp_path / "out").glob("*")) == ["discrepancies.parquet", "moves.parquet", "resolved.parquet"]
-    write(tmp_path / "raw/pokeapi/2026-02-01T000000Z/moves.json", [{"id": 1, "name": "Tackle", "power": 41}, {"id": 3, "name": "Cut", "power": 9}])
+    write(tmp_path / "raw/pokeapi/2026-02-01T000000Z/moves.json", [{"id": 1, "name": "Nudge", "power": 41}, {"id": 3, "name": "Cut", "power": 9}])
     build(spark, source, keys, db, {"moves": moves()})
     changes = {(r.entity_id, r.attribute, r.old_value, r.new_value) for r in spark.read.parquet(str(db / "change_history.parquet")).collect()}
-    assert changes == {("moves:Tackle", "pve_power", "40", "41"), ("moves:Cut", "entity_created", None, "Cut")}
+    assert changes == {("moves:Nudge", "pve_power", "40", "41"), ("moves:Cut", "entity_created", None, "Cut")}
 
 
 def test_template_table_and_command_line(spark, tmp_path, capsys):
@@ -52,7 +52,7 @@ def test_template_table_and_command_line(spark, tmp_path, capsys):
 
     source = prepare(tmp_path)
     t = domains.template_table(spark, source, "pokeapi/moves", "name string, power int, shiny boolean", {"shiny": F.lit(False)})
-    assert {tuple(r) for r in t.collect()} == {("Tackle", 40, False), ("Ember", 1, False), ("Ember", 2, False)}
+    assert {tuple(r) for r in t.collect()} == {("Nudge", 40, False), ("Spark Jab", 1, False), ("Spark Jab", 2, False)}
     assert main(["build", "--root", str(tmp_path / "raw"), "--templates", str(tmp_path / "t"), "--database", str(tmp_path / "db")]) == 0
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["resolved"] == 4
     assert main(["profile", "--root", str(tmp_path / "raw"), "--source", "pokeapi", "--endpoint", "moves"]) == 0

@@ -51,21 +51,21 @@ def claim_rows(df):
 
 
 def test_claims_overrides_and_prefix(spark):
-    payload = [{"id": 1, "name": "Tackle", "power": 40}, {"id": 2, "name": "Ember", "power": None}, {"id": None, "name": "x"}]
+    payload = [{"id": 1, "name": "Nudge", "power": 40}, {"id": 2, "name": "Spark Jab", "power": None}, {"id": None, "name": "x"}]
     mapped = {"name": {"source_field": "name"}, "power": {"source_field": "power"}}
     t = template(identity_field="id", field_mappings=mapped)
     found = claims.record_claims(extract.unwrap(documents(spark, payload), t), t)
-    assert claim_rows(found) == {("src_1", "name"): "Tackle", ("src_1", "power"): 40, ("src_2", "name"): "Ember"}
+    assert claim_rows(found) == {("src_1", "name"): "Nudge", ("src_1", "power"): 40, ("src_2", "name"): "Spark Jab"}
     assert {r.priority for r in found.collect()} == {99}
     t = template(identity_field="id", field_mappings=mapped, overrides={"power": {"source_field": "name"}}, entity_id_prefix="own")
-    assert claim_rows(claims.record_claims(extract.unwrap(documents(spark, payload), t), t))[("own_1", "power")] == "Tackle"
+    assert claim_rows(claims.record_claims(extract.unwrap(documents(spark, payload), t), t))[("own_1", "power")] == "Nudge"
 
 
 def test_sub_records_collapse_to_one_variant(spark):
     payload = [
-        {"id": 592, "name": "Frillish", "regionForms": {"FRILLISH_FEMALE": {"names": {"English": "Frillish Female"}}},
+        {"id": 712, "name": "Glimmer Eel", "regionForms": {"GLIMMER_EEL_FEMALE": {"names": {"English": "Glimmer Eel Female"}}},
          "assetForms": [{"form": "FEMALE", "isFemale": False}, {"form": None, "isFemale": False}]},
-        {"id": 1, "name": "Other", "assetForms": [{"form": "PARTY_HAT", "isFemale": False}]},
+        {"id": 1, "name": "Other", "assetForms": [{"form": "STRAW_CROWN", "isFemale": False}]},
     ]
     t = template(
         identity_field="id", entity_id_prefix="dex", field_mappings={"name": {"source_field": "name"}},
@@ -78,11 +78,11 @@ def test_sub_records_collapse_to_one_variant(spark):
     )
     found = claims.record_claims(extract.unwrap(documents(spark, payload), t), t)
     forms = {e for e, _ in claim_rows(found) if "_form_" in e}
-    assert forms == {"dex_592_form_female", "dex_1_form_party-hat"}
+    assert forms == {"dex_712_form_female", "dex_1_form_straw-crown"}
     won = {(r.entity_id, r.attribute): json.loads(r.value_json) for r in resolve.resolve(found).collect()}
-    assert won["dex_592_form_female", "form_name"] == "Frillish Female"  # the earlier sub_records entry wins
-    assert won["dex_592_form_female", "dex_number"] == 592
-    assert won["dex_1_form_party-hat", "gender"] == "unknown"
+    assert won["dex_712_form_female", "form_name"] == "Glimmer Eel Female"  # the earlier sub_records entry wins
+    assert won["dex_712_form_female", "dex_number"] == 712
+    assert won["dex_1_form_straw-crown", "gender"] == "unknown"
 
 
 def ledger(spark, rows):
@@ -152,14 +152,14 @@ def test_other_shapes(spark):
 
 def test_moves_by_name_or_fast_name(spark):
     move = "move_id bigint, name string, type string, power int, duration int, energy_delta int"
-    fast = spark.createDataFrame([(221, "Tackle", "normal", 5, 500, 5), (222, "Ember", "fire", 10, 1000, 10)], move)
-    charged = spark.createDataFrame([(999, "Hydro Pump", "water", 130, 3300, -100), (998, "Odd", "water", 1, 1, -1)], move)
+    fast = spark.createDataFrame([(301, "Nudge", "normal", 5, 500, 5), (302, "Spark Jab", "fire", 10, 1000, 10)], move)
+    charged = spark.createDataFrame([(999, "Tidal Burst", "water", 130, 3300, -100), (998, "Odd", "water", 1, 1, -1)], move)
     pvp = spark.createDataFrame(
-        [("TACKLE", 3, 0, 1, None, 0), ("EMBER_FAST", 4, 6, 2, None, 1), ("HYDRO_PUMP", 80, 75, None, '{"b":1}', 2), ("ODD_FAST", 9, 9, 9, None, 3)],
+        [("NUDGE", 3, 0, 1, None, 0), ("SPARK_JAB_FAST", 4, 6, 2, None, 1), ("TIDAL_BURST", 80, 75, None, '{"b":1}', 2), ("ODD_FAST", 9, 9, 9, None, 3)],
         "moveId string, power int, energy int, turns int, buffs string, seq int",
     )
     got = {r.move_id: (r.pvp_power, r.pvp_energy_cost, r.pvp_cooldown_turns, r.stat_buffs) for r in domains.moves_table(fast, charged, pvp).collect()}
-    assert got == {"move_221": (3, 0, 1, None), "move_222": (4, 6, 2, None), "move_999": (80, 75, None, '{"b":1}'), "move_998": (None, None, None, None)}
+    assert got == {"move_301": (3, 0, 1, None), "move_302": (4, 6, 2, None), "move_999": (80, 75, None, '{"b":1}'), "move_998": (None, None, None, None)}
 
 
 def test_species_and_forms(spark):
@@ -185,3 +185,24 @@ def test_variant_kinds(spark):
     rows = [("null", "null"), ("1", "number"), ("1.5", "number"), ("true", "boolean"), ('"x"', "string"), ("[1]", "array"), ('{"a":1}', "object"), ("{}", "object")]
     df = spark.createDataFrame(rows, "j string, want string").withColumn("got", V.kind(F.parse_json("j")))
     assert df.filter("got <> want").count() == 0
+
+
+def test_documents_of_any_size_keep_their_order(spark):
+    """A document of 100,000 keys: no place runs into another, and the order is the document's."""
+    n = 100_000
+    payload = {f"k{i}": [{"id": i, "name": "x"}] for i in range(n)} | {"last": [{"id": j} for j in range(3)]}
+    t = template("dict_of_lists", identity_field="id", field_mappings={"name": {"source_field": "name"}, "id": {"source_field": "id"}})
+    found = claims.record_claims(extract.unwrap(documents(spark, payload), t), t).filter("attribute = 'id'")
+    rows = found.orderBy("seq").select(F.col("value_json").cast("int").alias("v")).collect()
+    assert [r.v for r in rows] == [*range(n), 0, 1, 2]
+
+
+def test_members_beyond_ten_thousand_come_after_the_record(spark):
+    """Sub-records keep their order among themselves and stay before the next record, however many they are."""
+    payload = [{"id": 1, "own": "a", "forms": [{"form": f"f{i}"} for i in range(10_050)], "more": [{"form": "f3"}]}, {"id": 2, "own": "b", "forms": []}]
+    sub = {"field_mappings": {"form_name": {"source_field": "form"}}}
+    t = template(identity_field="id", entity_id_prefix="d", field_mappings={"own": {"source_field": "own"}}, sub_records=[{"list_field": "forms", **sub}, {"list_field": "more", **sub}])
+    rows = claims.record_claims(extract.unwrap(documents(spark, payload), t), t).collect()
+    assert len({r.seq for r in rows}) == len(rows)
+    names = [r.value_json for r in sorted(rows, key=lambda r: r.seq) if r.attribute in ("own", "form_name")]
+    assert names == ['"a"', *[f'"F{i}"' for i in range(10_050)], '"F3"', '"b"']

@@ -66,7 +66,7 @@ def test_unknown_transform_fails_when_compiled():
         (T.identity_slug, " Mr. Mime! ", "mr-mime"),
         (T.table_name, "A--b c__D_", "a_b_c_d"),
         (T.snake_case, "formMoves", "form_moves"),
-        (T.join_key, "Hydro Pump", "hydro_pump"),
+        (T.join_key, "Tidal Burst", "tidal_burst"),
         (T.strict_join_key, "X-Scissor (new)", "X_SCISSOR_NEW"),
         (lambda c: T.without_prefix(c, "POKEMON_TYPE_"), "POKEMON_TYPE_FIRE", "Fire"),
         (norm_id, " \tAb ", "ab"),
@@ -112,14 +112,14 @@ def test_no_instant(spark, text):
 def identity(spark, slug, form, costume, gender):
     df = spark.createDataFrame([(slug, form, costume, gender)], "s string, f string, c string, g string")
     who = T.form_identity(F.col("s"), F.col("f"), F.col("c"), F.col("g"))
-    return df.select(T.form_entity_id("p", F.lit("592"), who).alias("x")).first()["x"]
+    return df.select(T.form_entity_id("p", F.lit("712"), who).alias("x")).first()["x"]
 
 
 def test_spellings_of_one_variant_share_an_id(spark):
-    ids = {identity(spark, "592-frillish", f, None, "female") for f in ("Frillish (Female)", "Female", "Female Frillish", "FRILLISH_FEMALE")}
-    assert ids == {"p_592_form_female"}
-    assert identity(spark, "592-frillish", "Standard", None, "unknown") == "p_592_form_standard"
-    assert identity(spark, "592-frillish", None, "Frillish Party Hat", "unknown") == "p_592_form_party-hat"
+    ids = {identity(spark, "712-glimmer-eel", f, None, "female") for f in ("Glimmer Eel (Female)", "Female", "Female glimmer eel", "GLIMMER_EEL_FEMALE")}
+    assert ids == {"p_712_form_female"}
+    assert identity(spark, "712-glimmer-eel", "Standard", None, "unknown") == "p_712_form_standard"
+    assert identity(spark, "712-glimmer-eel", None, "Glimmer Eel Straw Crown", "unknown") == "p_712_form_straw-crown"
 
 
 def test_gender_signals_fire_in_order(spark):
@@ -140,3 +140,20 @@ def test_small_helpers(spark):
         V.as_text(V.first_truthy(F.lit("").cast("variant"), F.lit(3).cast("variant"))).alias("first"), T.integer_only(F.parse_json(F.lit("1.5"))).alias("i"),
     ).first()
     assert (row.flags, row.l, row.p, row.first, row.i) == ('["x"]', [7], "#007", "3", None)
+
+
+def test_identity_whatever_the_spelling(spark):
+    """Case, separators, gender words and the species' own name don't matter; other words do."""
+    import itertools
+
+    parts = {"red moon": ("red-moon", "x-ray"), "winter coat 2": ("winter-coat-2", "x-ray"), "standard": (None, "x-ray"), "": (None, "x-ray")}
+    rows, want = [], []
+    for (said, (token, _)), sep, own, gender in itertools.product(parts.items(), (" ", "_", "--", " / "), ("", "before", "after"), ("", "female", "(male)")):
+        words = said.split()
+        words = ["X", "Ray", *words] if own == "before" else [*words, "x", "RAY"] if own == "after" else words
+        rows.append((sep.join([*words, gender]).strip(),))
+        want.append(token)
+    df = spark.createDataFrame(rows, "f string")
+    who = T.form_identity(F.lit("9-x-ray"), F.col("f"), F.lit(None).cast("string"), F.lit("unknown"))
+    assert [r.t for r in df.select(who["form_token"].alias("t")).collect()] == want
+    assert identity(spark, "7", "seven", None, "unknown") == "p_712_form_seven" and identity(spark, "9-x-ray", "x", "ray", "male") == "p_712_form_x_ray_male"
