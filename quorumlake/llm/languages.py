@@ -34,13 +34,14 @@ LANGUAGES = list(LANGUAGE_NAMES)
 
 #: Lengths of n-grams; slots of the filters and positions an n-gram; labelled rows that a fit reads at most.
 GRAMS, SLOTS, PROBES, SAMPLE_ROWS = (3, 5), 1 << 22, 3, 20_000
-#: An n-gram belongs to a language that has it at least so often, and at least so often relative to
+#: An n-gram belongs to a language if so many of its texts have it, and at least so often relative to
 #: the language that has it most (both by frequency within the language).
 LEAST_COUNT, LEAST_SHARE = 4, 0.15
 #: A line decides by itself if its language leads by so many n-grams and by this share of its own.
 LINE_LEAD, LINE_SHARE = 12.0, 0.22
-#: and if it has so many letters and blanks; shorter ones may be a name that only one language's texts mention.
-LINE_CHARS = 24
+#: Where lines of a text decide for different languages, each must lead by so much without its capitalised
+#: words: a name that only one language's texts mention makes no text mixed.
+UNCAPITALISED_LEAD = 3.0
 
 
 def label_code(label: Column) -> Column:
@@ -55,6 +56,14 @@ def plain(line: str) -> str:
     return re.sub(r"[\W\d_]+", " ", f" {line.lower()} ")
 
 
+def uncapitalised(line: str) -> str:
+    """The same without capitalised words, which may be names; a line in capitals throughout stays whole."""
+    words = re.sub(r"[\W\d_]+", " ", line).split()
+    if not any(c.islower() for c in line):
+        return plain(line)
+    return f" {' '.join(w for w in words if not w[0].isupper()).lower()} "
+
+
 def lines_of(text: str | None) -> list[str]:
     """The non-blank lines of a text."""
     return [x for x in re.split(r"\r\n|\r|\n", text or "") if x.strip()]
@@ -119,6 +128,7 @@ class LanguageFilters:
     slots: np.ndarray
     grams: tuple[int, ...] = GRAMS
     probes: int = PROBES
+    rate: np.ndarray | None = None  # the false rates, once known
 
     @classmethod
     def build(cls, languages: list[str], hashes: np.ndarray, masks: np.ndarray, n_slots: int = SLOTS) -> LanguageFilters:
@@ -128,6 +138,7 @@ class LanguageFilters:
         out = cls(languages, np.zeros(n_slots, kind))
         for at in out.positions(hashes):
             np.bitwise_or.at(out.slots, at, masks.astype(kind))
+        out.false_rate()
         return out
 
     def positions(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
@@ -135,9 +146,16 @@ class LanguageFilters:
         for k in range(self.probes):
             yield ((hashes + np.uint64(k) * step) & np.uint64(len(self.slots) - 1)).astype(np.int64)
 
+    @staticmethod
+    def confidence(lead: float, top: float) -> float:
+        """How sure a decision is, from its lead and its score."""
+        return round(float(lead / (top + 5.0)), 4) if top > 0 else 0.0
+
     def false_rate(self) -> np.ndarray:
-        """Chance that a filter reports an n-gram it doesn't hold."""
-        return np.array([np.mean((self.slots >> b) & 1) ** self.probes for b in range(len(self.languages))])
+        """Chance that a filter reports an n-gram it doesn't hold; read off all slots once."""
+        if self.rate is None:
+            self.rate = np.array([np.mean((self.slots >> b) & 1) ** self.probes for b in range(len(self.languages))])
+        return self.rate
 
     def scores(self, lines: Sequence[str]) -> np.ndarray:
         """Corrected popcounts, a row per (plain) line and a column per language."""
@@ -161,15 +179,14 @@ def ranked(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return scores.argmax(1), order[:, -1] - order[:, -2], order[:, -1]
 
 
-def judge_lines(scores: np.ndarray, lines: Sequence[str]) -> np.ndarray:
-    """The language of each (plain) line that decides by itself, else -1."""
+def judge_lines(scores: np.ndarray) -> np.ndarray:
+    """The language of each line that decides by itself, else -1: by its lead alone, not by its length."""
     best, lead, top = ranked(scores)
-    long = np.array([len(x) for x in lines]) >= LINE_CHARS
-    return np.where(long & (lead >= LINE_LEAD) & (lead >= LINE_SHARE * np.maximum(top, 1)), best, -1)
+    return np.where((lead >= LINE_LEAD) & (lead >= LINE_SHARE * np.maximum(top, 1)), best, -1)
 
 
-def judge_text(scores: np.ndarray, texts: Sequence[str]) -> tuple[int, float, list[tuple[int, float]]]:
-    """(main language, confidence, [(language, confidence) per line]) of a text from its (plain) lines and their scores.
+def judge_text(scores: np.ndarray, sure: np.ndarray, filters: LanguageFilters) -> tuple[int, float, list[tuple[int, float]]]:
+    """(main language, confidence, [(language, confidence) per line]) of a text from its lines' scores and decisions.
 
     The list is empty unless lines of more than one language decide by themselves. In a mixed text a
     line that doesn't decide takes the better of the languages that occur, or its neighbour's if
@@ -178,8 +195,7 @@ def judge_text(scores: np.ndarray, texts: Sequence[str]) -> tuple[int, float, li
     """
     if not len(scores) or scores.max() <= 0:
         return -1, 0.0, []
-    confidence = lambda lead, top: round(float(lead / (top + 5.0)), 4) if top > 0 else 0.0
-    sure = judge_lines(scores, texts)
+    confidence = filters.confidence
     present = sorted(set(sure[sure >= 0].tolist()))
     if len(present) < 2:
         best, lead, top = ranked(scores.sum(0, keepdims=True))
@@ -202,16 +218,38 @@ def judge_text(scores: np.ndarray, texts: Sequence[str]) -> tuple[int, float, li
     return int(best[0]), confidence(lead[0], top[0]), lines
 
 
-def gram_counts(lines: Sequence[str], labels: np.ndarray, n_languages: int, grams: Sequence[int]) -> list[tuple[int, int, int]]:
-    """(hash as signed 64 bit, language, count) over lines with a label (-1: none)."""
-    out = []
+def distinct_grams(hashes: np.ndarray, texts: np.ndarray, languages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each (hash, text, language) once, told apart by one mixed 64 bit key."""
+    place = (texts.astype(np.uint64) << np.uint64(8)) | languages.astype(np.uint64)
+    key = (hashes ^ (place * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.argsort(key)
+    key = key[order]
+    first = order[np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])]
+    return hashes[first], texts[first], languages[first]
+
+
+def gram_counts(texts: Sequence[tuple[Sequence[str], np.ndarray]], n_languages: int, grams: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arrays (hash as signed 64 bit, language, number of texts) over texts of (lines, label of each line, -1: none).
+
+    A text counts an n-gram once a language however often it says it, so a name that few texts repeat is
+    no n-gram of their language. What is held at a time is a chunk's n-grams and the distinct ones so far.
+    """
+    lines = [x for own, _ in texts for x in own]
+    label = np.concatenate([np.zeros(0, np.int64), *[labels for _, labels in texts]])
+    text = np.repeat(np.arange(len(texts)), [len(own) for own, _ in texts])
+    seen = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     for pieces, owners in chunked(lines, max(grams) - 1):
         hashes, number = gram_hashes(pieces, grams)
-        language = labels[np.array(owners, np.int64)[number]] if len(number) else number
-        for b in range(n_languages):
-            keys, counts = np.unique(hashes[language == b], return_counts=True)
-            out += zip(keys.view(np.int64).tolist(), [b] * len(keys), counts.tolist())
-    return out
+        line = np.array(owners, np.int64)[number]
+        said = label[line] >= 0
+        fresh = distinct_grams(hashes[said], text[line[said]], label[line[said]])
+        seen = distinct_grams(*[np.concatenate(x) for x in zip(seen, fresh)]) if len(seen[0]) else fresh
+    each = [np.unique(seen[0][seen[2] == b], return_counts=True) for b in range(n_languages)]
+    return (
+        np.concatenate([k for k, _ in each]).view(np.int64),
+        np.repeat(np.arange(n_languages), [len(k) for k, _ in each]),
+        np.concatenate([n for _, n in each]).astype(np.int64),
+    )
 
 
 def bits_of(counts: DataFrame, n: int, least_count: int, least_share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -244,16 +282,16 @@ def fit(labelled: DataFrame, languages: list[str] = LANGUAGES, sample_rows: int
         def count(batches: Iterable[pa.RecordBatch], filters: LanguageFilters | None = filters) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts, codes = (c.to_pylist() for c in batch.columns)
-                for a in range(0, len(texts), 500):
-                    lines, labels = [], []
-                    for text, code in zip(texts[a : a + 500], codes[a : a + 500]):
-                        own = [plain(x) for x in lines_of(text)]
-                        lines += own
-                        labels += [languages.index(code)] * len(own)
-                    known = np.array(labels, np.int64) if filters is None else judge_lines(filters.scores(lines), lines) if lines else np.zeros(0, np.int64)
-                    found = gram_counts(lines, known, len(languages), GRAMS)
-                    columns = zip(*found) if found else [[]] * 3
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "b", "n"])
+                for a in range(0, len(texts), 200):
+                    each = [[plain(x) for x in lines_of(t)] for t in texts[a : a + 200]]
+                    lines = [x for own in each for x in own]
+                    if filters is None:
+                        known = np.array([languages.index(c) for c, own in zip(codes[a : a + 200], each) for _ in own], np.int64)
+                    else:
+                        known = judge_lines(filters.scores(lines)) if lines else np.zeros(0, np.int64)
+                    ends = np.cumsum([len(own) for own in each]).tolist()
+                    found = gram_counts([(own, known[e - len(own) : e]) for own, e in zip(each, ends)], len(languages), GRAMS)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["h", "b", "n"])
 
         counts = cut(sample.mapInArrow(count, "h bigint, b bigint, n bigint").groupBy("h", "b").agg(F.sum("n").alias("n")))
         filters = LanguageFilters.build(languages, *bits_of(counts, len(languages), LEAST_COUNT, LEAST_SHARE))
@@ -261,34 +299,43 @@ def fit(labelled: DataFrame, languages: list[str] = LANGUAGES, sample_rows: int
 
 
 def detect(documents: DataFrame, filters: LanguageFilters) -> DataFrame:
-    """(doc_id, segment_no, lang, confidence): -1 for the text, then each line of a text in several languages.
+    """(doc_id, segment_no, lang, confidence, label): -1 for the text, then each line of a text in several languages.
 
     Lines are counted from 0 without blank ones. lang is null for a text with nothing to go by (null,
-    empty, digits only). One map over (doc_id, text), no shuffle; texts are read whole.
+    empty, digits only). A column `code` of the documents, if there is one, comes out as label. One map,
+    in which each text is scored once, no shuffle; texts are read whole.
     """
     languages = filters.languages
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts, codes = (c.to_pylist() for c in batch.columns)
             for a in range(0, len(ids), 500):
-                lines, owners = [], []
-                for i, t in enumerate(texts[a : a + 500]):
-                    own = [plain(x) for x in lines_of(t)]
-                    lines += own
-                    owners.append((len(lines) - len(own), len(lines)))
-                scores = filters.scores(lines) if lines else np.zeros((0, len(languages)))
+                raw, owners = [], []
+                for t in texts[a : a + 500]:
+                    own = lines_of(t)
+                    raw += own
+                    owners.append((len(raw) - len(own), len(raw)))
+                scores = filters.scores([plain(x) for x in raw]) if raw else np.zeros((0, len(languages)))
+                sure = judge_lines(scores)
+                doubtful = [i for p, q in owners if len(set(sure[p:q].tolist()) - {-1}) > 1 for i in range(p, q) if sure[i] >= 0]
+                if doubtful:
+                    without = filters.scores([uncapitalised(raw[i]) for i in doubtful])
+                    best, lead, _ = ranked(without)
+                    kept = (best == sure[doubtful]) & (lead >= UNCAPITALISED_LEAD)
+                    sure[doubtful] = np.where(kept, sure[doubtful], -1)
                 out = []
-                for doc, (p, q) in zip(ids[a : a + 500], owners):
-                    main, sure, segments = judge_text(scores[p:q], lines[p:q])
-                    out.append((doc, -1, languages[main] if main >= 0 else None, sure))
-                    out += [(doc, n, languages[b], c) for n, (b, c) in enumerate(segments)]
-                columns = list(zip(*out)) if out else [[]] * 4
-                types = [pa.int64(), pa.int64(), pa.string(), pa.float64()]
+                for doc, code, (p, q) in zip(ids[a : a + 500], codes[a : a + 500], owners):
+                    main, confidence, segments = judge_text(scores[p:q], sure[p:q], filters)
+                    out.append((doc, -1, languages[main] if main >= 0 else None, confidence, code))
+                    out += [(doc, n, languages[b], c, code) for n, (b, c) in enumerate(segments)]
+                columns = list(zip(*out)) if out else [[]] * 5
+                types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "segment_no", "lang", "confidence"]
+                    [pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "segment_no", "lang", "confidence", "label"]
                 )
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        judge, "doc_id bigint, segment_no bigint, lang string, confidence double"
+    code = F.col("code") if "code" in documents.columns else F.lit(None).cast("string")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", code.alias("code")).mapInArrow(
+        judge, "doc_id bigint, segment_no bigint, lang string, confidence double, label string"
     )

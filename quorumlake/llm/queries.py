@@ -160,12 +160,12 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("longest"))
 
 
-def detected(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", "text", "lang")
-    filters = languages.fit(t.select("doc_id", "text", languages.label_code(t["lang"]).alias("code")))
-    labels = t.select(F.col("doc_id").cast("bigint").alias("doc_id"), languages.label_code(t["lang"]).alias("_label"))
-    found = languages.detect(t, filters)
-    return found, labels
+def p10_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p10_found with their confidence: one pass in which each text carries its label along."""
+    t = table(spark, d, "documents").select("doc_id", "text", languages.label_code(F.col("lang")).alias("code"))
+    found = languages.detect(t, languages.fit(t))
+    wrong = (F.col("segment_no") >= 0) | (F.col("lang").isNotNull() & ~F.col("lang").eqNullSafe(F.col("label")))
+    return found.filter(wrong).drop("label")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -173,13 +173,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_confidence(spark, d).select("doc_id", "segment_no", "lang")
 
 
-def p10_confidence(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of p10_found with their confidence."""
-    found, labels = detected(spark, d)
-    texts = found.filter("segment_no = -1 and lang is not null").join(labels, "doc_id").filter(~F.col("lang").eqNullSafe(F.col("_label")))
-    return texts.drop("_label").unionByName(found.filter("segment_no >= 0"))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (p2_found, p2_confidence, p5_found, p5_consensus, p5_corrections, p8_sequences, p8_fill, p9_found, p9_items, p10_found, p10_confidence)

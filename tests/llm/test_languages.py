@@ -111,6 +111,44 @@ def test_a_name_alone_makes_no_text_mixed(spark):
     assert [(r.segment_no, r.lang) for r in G.detect(df, f).collect()] == [(-1, "de")]
 
 
+def test_a_short_line_decides_by_its_evidence(spark, fitted):
+    """A text whose second language stands in lines of about 20 characters only is still mixed."""
+    rnd = random.Random(11)
+    short = ["werden zwischen gegen", "nicht wurde schon", "sich über durch"]
+    df = spark.createDataFrame([(1, "\n".join([sentence(rnd, "en"), short[0], sentence(rnd, "en"), short[1], short[2]]))], "doc_id bigint, text string")
+    got = {r.segment_no: r.lang for r in G.detect(df, fitted).collect()}
+    assert got == {-1: "en", 0: "en", 1: "de", 2: "en", 3: "de", 4: "de"}
+
+
+def test_uncapitalised():
+    assert G.uncapitalised("Der Drache greift an") == " greift an " and G.uncapitalised("NUR LAUT") == " nur laut " and G.uncapitalised("Kudiraguse") == "  "
+
+
+def test_texts_count_an_ngram_once():
+    lines = ["abc abc abc", "abc"]
+    h, b, n = G.gram_counts([(lines, np.array([0, 0])), (lines[:1], np.array([1])), (["abc"], np.array([0])), (["zzz"], np.array([-1]))], 2, (3,))
+    want = int(G.gram_hashes(["abc"], (3,))[0].view(np.int64)[0])
+    assert sorted((x, c) for a, x, c in zip(h.tolist(), b.tolist(), n.tolist()) if a == want) == [(0, 2), (1, 1)]
+
+
+def test_confidence_rises_with_accuracy(spark, fitted):
+    """Lines with foreign words among their own: the more there are, the lower confidence and accuracy."""
+    rnd = random.Random(12)
+    rows, want = [], {}
+    for i in range(1500):
+        lang, other = rnd.sample(list(WORDS), 2)
+        foreign = rnd.randrange(0, 6)
+        words = [rnd.choice(WORDS[lang]) for _ in range(10 - foreign)] + [rnd.choice(WORDS[other]) for _ in range(foreign)]
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words)))
+        want[i] = lang
+    found = G.detect(spark.createDataFrame(rows, "doc_id bigint, text string"), fitted).filter("segment_no = -1").collect()
+    ranked = sorted(found, key=lambda r: r.confidence)
+    thirds = [ranked[k * 500 : (k + 1) * 500] for k in range(3)]
+    right = [sum(r.lang == want[r.doc_id] for r in t) / 500 for t in thirds]
+    assert right[0] <= right[1] <= right[2] and right[2] > 0.99
+
+
 def test_without_rows(spark, fitted):
     empty = spark.createDataFrame([], "doc_id bigint, text string, code string")
     assert G.detect(empty, fitted).count() == 0
