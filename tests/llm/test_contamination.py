@@ -14,9 +14,35 @@ def test_words():
 
 
 def test_prefix_length():
-    assert C.prefix_length(15, 5, 7) == 11  # two edits may leave one shingle, so all must be looked up
-    assert C.prefix_length(15, 5, 16) == 1  # without edits the rarest one is enough
-    assert C.prefix_length(15, 5, 10) == 6
+    assert C.windows_of(15, 7) == [(15, 2), (21, 3), (28, 4)]
+    assert C.prefix_length(15, 3, 2) == 7 and C.prefix_length(21, 3, 3) == 10 and C.prefix_length(28, 3, 4) == 13  # about half of 13, 19 and 26
+    assert C.prefix_length(15, 5, 2) == 11  # with five words all must be looked up
+    assert C.prefix_length(15, 5, 0) == 1  # without edits the rarest one is enough
+
+
+def test_long_tags_are_markup():
+    long = "x" * 2000
+    assert C.normalised_words(f'a <img alt="{long}" src=\'{long}\' /> b <p class="{long}">c</p>') == ["a", "b", "c"]
+    assert C.normalised_words("if 1 <b and " + "word " * 200 + "c> 2")[:3] == ["if", "1", "b"]  # no tag
+
+
+def test_pruned_index_finds_what_the_whole_one_finds():
+    """Whatever rarity says, the prefixes lose no passage that the alignment accepts."""
+    rnd = random.Random(4)
+    for n in range(400):
+        item = [f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(15, 45))]
+        a = rnd.randrange(0, len(item) - 14)
+        length = rnd.randrange(15, len(item) - a + 1)
+        edits = rnd.randrange(0, length // 7 + 1)
+        at = rnd.randrange(1, length - 1)
+        passage = item[a : a + length]
+        for _ in range(edits):  # half of the cases have all edits close together, the worst case for windows
+            k = min(max(1, at + rnd.randrange(-2, 3)), len(passage) - 2) if n % 2 else rnd.randrange(1, len(passage) - 1)
+            passage = [*passage[:k], *rnd.choice([["zz"], [], ["yy", passage[k]]]), *passage[k + 1 :]]
+        text = [f"w{rnd.randrange(60)}" for _ in range(10)] + passage + [f"w{rnd.randrange(60)}" for _ in range(10)]
+        whole, pruned = C.ItemIndex([(1, item)], 15, 3, 7), C.ItemIndex([(1, item)], 15, 3, 7)
+        pruned.keep_prefixes({s: rnd.randrange(100) for s in pruned.places})
+        assert bool(list(whole.leaks(text))) == bool(list(pruned.leaks(text))), (item, text)
 
 
 def brute(item, text, min_words, per_edit):
@@ -80,20 +106,33 @@ def test_leaked_items(spark):
     assert got == {(i, 1) for i in (0, 1, 5, 6, 7, 9, 10)}
 
 
-def test_blocks_change_nothing(spark):
+def test_joins_find_what_the_index_finds(spark):
     rnd = random.Random(2)
-    many = [" ".join(f"q{rnd.randrange(500)}" for _ in range(20)) for _ in range(12)]
-    d = docs(spark, *[f"intro {m} outro" for m in many])
-    one = {(r.doc_id, r.item_id) for r in C.leaked_items(d, items(spark, *many)).collect()}
-    four = {(r.doc_id, r.item_id) for r in C.leaked_items(d, items(spark, *many), block_items=3).collect()}
-    assert one == four == {(i, i + 1) for i in range(12)}
-
-
-def test_without_edits_only_rare_prefixes_are_kept(spark):
-    index = C.ItemIndex([(1, C.normalised_words(ITEM))], 15, 5, 100)
+    many = [" ".join(f"q{rnd.randrange(500)}" for _ in range(rnd.randrange(15, 40))) for _ in range(12)]
+    texts = [f"intro {m} outro" for m in many] + [" ".join(edited(m.split(), rnd, rnd.randrange(1, 6))) for m in many] + [" ".join(many), None, "", "short"]
+    d, i = docs(spark, *texts), items(spark, *many)
+    want = {tuple(r) for r in C.leaked_items(d, i).collect()}
+    assert {(k, k + 1) for k in range(12)} | {(24, k + 1) for k in range(12)} <= {(r[0], r[1]) for r in want}
+    got = {tuple(r) for r in C.joined_leaks(d.select("doc_id", "text"), i, 15, 3, 7, 1 << 16).collect()}
+    assert got == want
+    assert C.leaked_items(d, i, most_chars=10).count() == len(want)
+    assert C.leaked_items(d.limit(0), i, most_chars=10).count() == 0
+
+
+def test_an_item_id_with_two_texts(spark):
+    other = " ".join(f"o{k}" for k in range(20))
+    both = spark.createDataFrame([(1, ITEM), (1, other), (1, ITEM)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.n_words) for r in C.leaked_items(docs(spark, ITEM, other, ITEM + " and " + other), both).collect()}
+    n = len(ITEM.split())
+    assert got == {(0, 1, n), (1, 1, 20), (2, 1, n)}
+
+
+def test_rare_shingles_are_kept(spark):
+    index = C.ItemIndex([(1, C.normalised_words(ITEM))], 15, 3, 7)
     before = len(index.places)
-    index.keep_prefixes({})
-    assert 0 < len(index.places) < before
+    common = list(index.places)[: before // 2]
+    index.keep_prefixes({s: 1000 for s in common})
+    assert len(index.places) < before and len(set(index.places) & set(common)) < len(common)
     assert {i for i, *_ in index.leaks(C.normalised_words("x " + ITEM))} == {1}
 
 
