@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quorumlake.functions.clean import blank_to_null, norm_id, trimmed
 from quorumlake.llm import consensus, contamination, languages, linkage, packing
 from quorumlake.operators.skew import salted_join
-from quorumlake.session import table
+from quorumlake.session import cut, table
 
 #: Where the tokenizers' vocabulary files are; a parameter of the packing queries.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -101,24 +101,32 @@ def priority() -> list:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """The surviving claim of every species' attribute: consensus under dominant weights."""
+    """The surviving claim of every species' attribute: consensus in which the best claims of a group
+    outweigh all others together.
+
+    The best are those of the lowest rank and, of these, the latest instant. Only their values may
+    survive; where they differ, the tokens decide, on which the other claims vote too.
+    """
+    keys = ["dex_number", "attribute"]
+    level = F.struct("rank", priority()[1].alias("age"))
+    claims = cut(claims_of(spark, d))
+    first = claims.groupBy(*keys).agg(F.min(level).alias("_first"))
+    ranked = salted_join(claims, first, keys, F.col("claim_id")).withColumn("_best", level == F.col("_first"))
     best = consensus.best_representatives(
-        claims_of(spark, d), ["dex_number", "attribute"], F.array(*priority()), True, priority(), "claim_id"
+        ranked, keys, [F.col("_best").cast("int"), (~F.col("_best")).cast("int")], priority(), "claim_id", F.col("_best")
     )
-    return best.select("dex_number", "attribute", "claim_id")
+    return best.select(*keys, "claim_id")
 
 
 def p5_consensus(spark: SparkSession, d: str) -> DataFrame:
     """The same with weights that add up (one over the trust rank), where many weak claims can win."""
-    return consensus.best_representatives(
-        claims_of(spark, d), ["dex_number", "attribute"], F.lit(1.0) / F.col("rank"), False, priority(), "claim_id"
-    )
+    return consensus.best_representatives(claims_of(spark, d), ["dex_number", "attribute"], [F.lit(1.0) / F.col("rank")], priority(), "claim_id")
 
 
 def p5_corrections(spark: SparkSession, d: str) -> DataFrame:
     """Stored rows with the surviving value and source beside what they had, and whether that was right."""
     t = table(spark, d, "discrepancies")
-    won = p5_found(spark, d).join(
+    won = cut(p5_found(spark, d)).join(
         claims_of(spark, d).select("claim_id", F.col("value").alias("true_value"), F.col("source").alias("true_source")).distinct(), "claim_id"
     )
     stored = t.select(
@@ -129,7 +137,7 @@ def p5_corrections(spark: SparkSession, d: str) -> DataFrame:
         source_key(t["winning_source"]).alias("stored_source"),
     ).distinct()
     right = F.col("stored_value").eqNullSafe(F.col("true_value")) & F.col("stored_source").eqNullSafe(F.col("true_source"))
-    return stored.join(won, ["dex_number", "attribute"]).select(
+    return salted_join(stored, won, ["dex_number", "attribute"], F.col("row_id")).select(
         "row_id", "dex_number", "attribute", "stored_value", "stored_source", "true_value", "true_source", right.alias("was_right")
     )
 
