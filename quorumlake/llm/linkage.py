@@ -186,22 +186,47 @@ def costume_key(text: str | None) -> str:
     return f"{words[0]}:{words[year]}:{number}"
 
 
-COSTUME_TEXT = re.compile(
-    r"(?:[\[(:,]\s*|\s(?:with|wearing|in|w/)\s+|\s-\s+)(?P<costume>[^\W\d_]+\b[^\d\[\](),:]*?\s(?:19|20|21)\d\d(?:\s+(?:no\.?\s*)?\d+)?)\s*[\])]?\s*$",
-    re.IGNORECASE,
-)
+#: The end of a costume's name (a year and perhaps a number), what its name may not hold, and what opens it.
+COSTUME_END = re.compile(r"\s(?:19|20|21)\d\d(?:\s+(?:no\.?\s*)?\d+)?\s*[\])]?\s*$", re.IGNORECASE)
+NO_COSTUME, OPENS_COSTUME = re.compile(r"[\d\[\](),:]"), re.compile(r"\s(?:with|wearing|in|w/|-)(?=\s)", re.IGNORECASE)
+BLANK = re.compile(r"\s*")
+COSTUME_WORD = re.compile(r"[^\W\d_]+\b")
+
 
+def costume_in(text: str) -> tuple[str, str] | None:
+    """(what stands before, the costume's name) of a text that ends with a costume; None for another one.
 
-def split_name(words: list[str]) -> list[tuple[str, str]]:
-    """All readings (species, variant) of the words of a name without costume and raid kind."""
+    The costume is opened by a bracket, colon, comma, dash or word for wearing. Read from the end, in
+    time linear in the text.
+    """
+    end = COSTUME_END.search(text)
+    if end is None:
+        return None
+    marks = [m.start() for m in NO_COSTUME.finditer(text, 0, end.start())]
+    at = marks[-1] + 1 if marks else 0
+    tail = re.sub(r"[\s\])]+$", "", text)
+    if marks and text[at - 1] in "[(:,":
+        start = at + len(text[at:]) - len(text[at:].lstrip())
+        if COSTUME_WORD.match(text, start):
+            return text[: at - 1], tail[start:]
+    for opening in OPENS_COSTUME.finditer(text, at, end.start() + 1):
+        start = BLANK.match(text, opening.end()).end()
+        if COSTUME_WORD.match(text, start):
+            return text[: opening.start()], tail[start:]
+    return None
+
+
+def split_name(words: list[str], most: int = 2) -> list[tuple[str, str]]:
+    """All readings (species, variant) of the words of a name without costume and raid kind.
+
+    A variant has up to `most` words, at the beginning, the end or both.
+    """
     words = [w for w in words if w not in NOISE_WORDS]
     out = [("".join(words), "")]
-    for k in (1, 2):
-        if len(words) > k:
-            out.append(("".join(words[k:]), "".join(words[:k])))
-            out.append(("".join(words[:-k]), "".join(words[-k:])))
-    if len(words) > 2:
-        out.append(("".join(words[1:-1]), words[0] + words[-1]))
+    for k in range(1, min(most, len(words) - 1) + 1):
+        for before in range(k, -1, -1):
+            after = k - before
+            out.append(("".join(words[before : len(words) - after]), "".join([*words[:before], *words[len(words) - after :]])))
     return [(s, "" if v in PLAIN_FORM else v) for s, v in dict.fromkeys(out)]
 
 
@@ -209,22 +234,20 @@ def near_shadow(word: str) -> bool:
     return word == SHADOW or (len(word) in (5, 6, 7) and sorted(word) == sorted(SHADOW))
 
 
-def read_boss(name: str | None, form: str | None, costume: str | None, reference: str | None) -> tuple[list[tuple[str, str, str]], str, str]:
+def read_boss(name: str | None, form: str | None, costume: str | None, reference: str | None, most: int = 2) -> tuple[list[tuple[str, str, str]], str, str]:
     """((source, species, variant) readings, costume in the name, costume column)."""
     text = re.sub(r"\s+", " ", name or "").strip()
     text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn")
-    tail = max(0, len(text) - 300)  # a costume ends the name
-    found = COSTUME_TEXT.search(text, tail)
-    in_name = costume_key(found["costume"]) if found else ""
-    rest = text[: found.start()] if found else text
+    found = costume_in(text)
+    rest, in_name = (found[0], costume_key(found[1])) if found else (text, "")
     words = folded(rest).split()
     words = words[1:] if len(words) > 1 and near_shadow(words[0]) else words
-    readings = [("name", s, v) for s, v in split_name(words)] if words else []
+    readings = [("name", s, v) for s, v in split_name(words, most)] if words else []
     form_words = [w for w in folded(form).split() if w not in NOISE_WORDS]
     whole = "".join(form_words)
     if whole and whole not in PLAIN_FORM:
         readings.append(("form_only", "", whole))  # the field may hold the variant alone,
-        readings += [("form", s, v) for s, v in split_name(form_words)]  # or the species with or without it
+        readings += [("form", s, v) for s, v in split_name(form_words, most)]  # or the species with or without it
     elif whole:
         readings.append(("form_only", "", ""))
     if squashed(reference):
@@ -237,11 +260,11 @@ READING_SCHEMA = (
 )
 
 
-def read_bosses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def read_bosses(batches: Iterable[pa.RecordBatch], most: int = 2) -> Iterator[pa.RecordBatch]:
     text = pa.string()
     reading = pa.list_(pa.struct([("source", text), ("species", text), ("variant", text)]))
     for b in batches:
-        rows = [read_boss(*x) for x in zip(*(c.to_pylist() for c in b.columns[1:]))]
+        rows = [read_boss(*x, most) for x in zip(*(c.to_pylist() for c in b.columns[1:]))]
         columns = list(zip(*rows)) if rows else [[]] * 3
         readings = [[dict(zip(("source", "species", "variant"), r)) for r in x] for x in columns[0]]
         yield pa.RecordBatch.from_arrays(
@@ -265,40 +288,48 @@ def with_keys(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
     return df.mapInArrow(add, schema)
 
 
-#: Texts up to so many characters are found by deletions, longer ones by the signs at either end.
-SHORT, END = 40, 16
+#: Texts up to so many characters are found by deletions, longer ones by either half.
+SHORT = 40
 
 
 def edit_keys(c: Column) -> Column:
-    """Keys of which two texts one edit apart share at least one, unless a text has under 5 characters.
+    """Keys of which two texts one edit apart (or with two neighbours exchanged) share at least one.
 
-    A short text's keys are the text and all texts with one character less; one under 5 characters
-    has only itself. An edit in a long text leaves its first or its last characters as they are.
+    A short text's keys are the text and all texts with one character less (a single character has only
+    itself). An edit in a long text leaves its first or its last half as it is; halves are keys together
+    with the length they belong to, for the text's own length and the two next to it, so that texts
+    with a common opening meet only if a whole half is equal.
     """
     shorter = F.transform(
         F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))
     )
-    ends = F.array(F.concat(F.lit("<"), F.left(c, F.lit(END))), F.concat(F.lit(">"), F.right(c, F.lit(END))))
+
+    def halves(d: int) -> list[Column]:
+        n = F.length(c) + d
+        half = F.floor((n - 1) / 2).cast("int")
+        return [F.concat(n.cast("string"), F.lit("<"), F.left(c, half)), F.concat(n.cast("string"), F.lit(">"), F.right(c, half))]
+
+    both = F.array(*[k for d in (-1, 0, 1) for k in halves(d)])
     return F.array_distinct(
-        F.when(F.length(c) < 5, F.array(c))
+        F.when(F.length(c) < 2, F.array(c))
         .when(F.length(c) < SHORT, F.concat(F.array(c), shorter))
-        .when(F.length(c) > SHORT + 1, ends)
-        .otherwise(F.concat(F.array(c), shorter, ends))
+        .when(F.length(c) > SHORT + 1, both)
+        .otherwise(F.concat(F.array(c), shorter, both))
     )
 
 
 def similar_names(texts: DataFrame, names: DataFrame, most: int = 2) -> DataFrame:
     """(text, key, distance): names within `most` edits of a text among those that share an edit key.
 
-    Any two texts of 5 characters or more that are one edit apart (a letter replaced, dropped, inserted
-    or two exchanged) share one, so an equi-join finds them; no pairs are enumerated. A text of up to 4
-    characters is found as it is, or where one of 5 becomes it by losing a letter. Two letters exchanged
-    count as one edit. The join is a sort-merge join by hint: runtime sizes are taken before texts are
-    multiplied by their keys.
+    Any two texts of 2 characters or more that are one edit apart (a letter replaced, dropped, inserted
+    or two neighbours exchanged) share one, so an equi-join finds them; no pairs are enumerated. Two
+    letters exchanged count as one edit. Keys that many names share are salted.
     """
-    left = texts.select("text", F.explode(edit_keys(F.col("text"))).alias("_d"))
-    right = names.select("text", "key", F.explode(edit_keys(F.col("text"))).alias("_d")).withColumnRenamed("text", "_name")
-    close = left.join(right.hint("merge"), "_d").select("text", "_name", "key").distinct().withColumn("distance", F.levenshtein("text", "_name", most))
+    left = cut(texts.select("text", F.explode(edit_keys(F.col("text"))).alias("_d")))
+    right = names.select(F.col("text").alias("_name"), "key", F.explode(edit_keys(F.col("text"))).alias("_d"))
+    # a sort-merge join by hint: runtime sizes are taken before texts are multiplied by their keys
+    close = salted_join(left, right.hint("merge"), ["_d"], F.col("text")).select("text", "_name", "key").distinct()
+    close = close.withColumn("distance", F.levenshtein("text", "_name", most))
     letters = lambda c: F.array_sort(F.split(c, ""))
     swapped = (F.col("distance") == 2) & (F.length("text") == F.length("_name")) & (letters(F.col("text")) == letters(F.col("_name")))
     close = close.withColumn("distance", F.when(swapped, 1).otherwise(F.col("distance")))
@@ -325,20 +356,14 @@ def category(function: str, name: str) -> Column:
     return F.lit([n for n, _ in VOTES[function]].index(name))
 
 
-def strength(columns: list[str]) -> Column:
-    """How far all votes together lean to a match."""
-    leanings = [F.get(F.array(*[F.lit(float(w)) for _, w in categories]), F.col(c)) for c, categories in zip(columns, VOTES.values())]
-    return sum(leanings[1:], leanings[0])
-
-
 def match_forms(bosses: DataFrame, forms: DataFrame, species: DataFrame, least: float = 0.5) -> DataFrame:
     """(boss_id, form_slug, confidence): the form each boss describes, if one is likely enough.
 
     bosses: boss_id, name, form, costume, reference, four CP columns, snapshot, loaded; forms: slug,
     dex, variant, costume, attack, defence, stamina, snapshot; species: dex, name. Of several rows of
     a boss the one loaded last counts; null or empty texts are no evidence. A boss whose costume or
-    variant its species doesn't have finds no candidate with it and gives no row. Ties go to the
-    smallest slug. Candidates come from equi-joins on species, variant and costume, spread over salts
+    variant its species doesn't have finds no candidate with it and gives no row. Of a boss's likely
+    candidates the one with the highest posterior counts, of equals the smallest slug. Candidates come from equi-joins on species, variant and costume, spread over salts
     where one species holds many rows.
     """
     cps = ["min_cp", "max_cp", "min_boosted_cp", "max_boosted_cp"]
@@ -350,7 +375,11 @@ def match_forms(bosses: DataFrame, forms: DataFrame, species: DataFrame, least:
         .agg(F.max("_b").alias("_b"))
         .select("boss_id", "_b.*")
     )
-    read = cut(last.select("boss_id", *texts).mapInArrow(read_bosses, READING_SCHEMA))
+    last = cut(last)
+    # no form has a variant of more words, so no longer one needs to be read
+    words = F.size(F.filter(F.split(F.lower("variant"), r"[\W_]+"), lambda w: w != ""))
+    longest = max(2, forms.agg(F.max(words)).first()[0] or 0)
+    read = cut(last.select("boss_id", *texts).mapInArrow(lambda b: read_bosses(b, longest), READING_SCHEMA))
     form_rows = with_keys(
         forms.select("slug", "dex", "variant", "costume").filter("slug is not null and dex is not null").distinct(),
         {"variant_key": ("variant", "variant"), "costume_key": ("costume", "costume")},
@@ -387,9 +416,10 @@ def match_forms(bosses: DataFrame, forms: DataFrame, species: DataFrame, least:
         .withColumn("costume_key", F.explode(costumes))
     )
     found = salted_join(wanted, records, ["dex", "variant_key", "costume_key"], F.col("boss_id"))
-    found = found.join(last.select("boss_id", "snapshot", *cps), "boss_id")
+    found = cut(found.join(last.select("boss_id", "snapshot", *cps), "boss_id"))
     stats = (
         forms.filter("slug is not null")
+        .join(found.select("slug", "snapshot").distinct(), ["slug", "snapshot"], "left_semi")
         .groupBy("slug", "snapshot")
         .agg(*[F.max(c).cast("double").alias(c) for c in ("attack", "defence", "stamina")])
     )
@@ -465,16 +495,12 @@ def match_forms(bosses: DataFrame, forms: DataFrame, species: DataFrame, least:
     patterns = voted.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).toPandas()
     votes = patterns[columns].to_numpy(int).reshape(-1, len(columns))
     model = fit_label_model(votes, patterns["n"].to_numpy(), [[w for _, w in v] for v in VOTES.values()])
-    rows = [(*map(int, v), float(p)) for v, p in zip(votes, model.posterior(votes) if len(votes) else [])]
-    judged = voted.sparkSession.createDataFrame(rows, ", ".join(f"{c} int" for c in columns) + ", confidence double")
-    scored = voted.join(F.broadcast(judged), columns)
-    # of a boss's likely candidates the one with the strongest votes counts
-    likely = scored.filter(F.col("confidence") >= least).withColumn("_strength", strength(columns))
-    chosen = (
-        likely.groupBy("boss_id", "slug")
-        .agg(F.max(F.struct("_strength", "confidence")).alias("_s"))
-        .groupBy("boss_id")
-        .agg(F.min_by(F.struct(F.col("slug"), F.col("_s.confidence").alias("confidence")), F.struct(-F.col("_s._strength"), -F.col("_s.confidence"), F.col("slug"))).alias("_c"))
-        .select("boss_id", F.col("_c.slug").alias("form_slug"), F.col("_c.confidence").alias("confidence"))
-    )
+    # log odds keep apart what confidences near one don't
+    odds = model.log_odds(votes) if len(votes) else []
+    rows = [(*map(int, v), float(p), float(o)) for v, p, o in zip(votes, model.posterior(votes) if len(votes) else [], odds)]
+    judged = voted.sparkSession.createDataFrame(rows, ", ".join(f"{c} int" for c in columns) + ", confidence double, _odds double")
+    scored = voted.join(F.broadcast(judged), columns)  # at most a row per combination of categories
+    likely = scored.filter(F.col("confidence") >= least)
+    best = F.min(F.struct((-F.col("_odds")).alias("_o"), "slug", "confidence")).alias("_c")
+    chosen = likely.groupBy("boss_id").agg(best).select("boss_id", F.col("_c.slug").alias("form_slug"), "_c.confidence")
     return chosen
