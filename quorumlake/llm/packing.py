@@ -22,8 +22,9 @@ from quorumlake.session import cut
 
 #: Fixed: the split pattern that belongs to the byte-level vocabulary.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A text beyond so many characters is counted in parts of that length.
-PART_CHARS = 1_000_000
+#: A text beyond about so many characters is counted in parts, cut where the pattern parts it anyway: between
+#: a sign and a blank, or a letter and a digit.
+PART_CHARS, PARTING = 1_000_000, r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})"
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -32,6 +33,21 @@ def read_vocabulary(path: str) -> bytes:
         return f.read()
 
 
+def parts_of(text: str, size: int = PART_CHARS) -> Iterator[str]:
+    """The text in parts of about `size` characters that have the tokens of the whole text. A longer run
+    without any place to cut is one part."""
+    import regex
+
+    parting, at = regex.compile(PARTING), 0
+    while len(text) - at > size:
+        cut_at = parting.search(text, at + size)
+        if cut_at is None:
+            break
+        yield text[at : cut_at.start()]
+        at = cut_at.start()
+    yield text[at:]
+
+
 def token_counts(texts: DataFrame, id_column: str, text_column: str, vocabulary: str, pattern: str = SPLIT_PATTERN) -> DataFrame:
     """(id, n_tokens) of every text, by a byte-level vocabulary file of ranks (its path is a parameter).
 
@@ -47,14 +63,17 @@ def token_counts(texts: DataFrame, id_column: str, text_column: str, vocabulary:
         for b in batches:
             n = []
             for t in b.column(1).to_pylist():
-                t = t or ""
-                n.append(sum(len(encoding.encode_ordinary(t[i : i + PART_CHARS])) for i in range(0, len(t), PART_CHARS)))
+                n.append(sum(len(encoding.encode_ordinary(part)) for part in parts_of(t)) if t else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[id_column, "n_tokens"])
 
     kind = dict(texts.dtypes)[id_column]
     return texts.select(id_column, text_column).mapInArrow(count, f"`{id_column}` {kind}, n_tokens bigint")
 
 
+#: Plans of up to so many runs (32 bytes each) are sent to every executor.
+MOST_RUNS = 200_000
+
+
 @dataclass
 class Plan:
     """Runs (size, rank_from, rank_to, first_bin, per_bin) and the number of sequences."""
@@ -211,11 +230,17 @@ def pack(items: DataFrame, id_column: str, capacity: int, make: Callable[[dict[i
     # at most `capacity` rows, whatever the corpus
     histogram = {r["_size"]: r["n"] for r in pieces.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = make(histogram, capacity)
-    runs = items.sparkSession.createDataFrame(plan.runs, "_size bigint, _from bigint, _to bigint, _bin bigint, _per bigint")
+    # one row a size with its runs in order of rank, so that no text meets more than one row
+    by_size: dict[int, list[tuple]] = {}
+    for size, *run in sorted(plan.runs):
+        by_size.setdefault(size, []).append(tuple(run))
+    runs = items.sparkSession.createDataFrame(list(by_size.items()), "_size bigint, _runs array<struct<_from: bigint, _to: bigint, _bin: bigint, _per: bigint>>")
+    if len(plan.runs) <= MOST_RUNS:
+        runs = F.broadcast(runs)
     ranked = salted_rank(pieces, ["_size"], [id_column, "piece_no"], "_rank")
-    fits = (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    placed = ranked.join(F.broadcast(runs), "_size").filter(fits)
+    own = F.element_at(F.filter("_runs", lambda r: (F.col("_rank") >= r["_from"]) & (F.col("_rank") < r["_to"])), 1)
+    placed = ranked.join(runs, "_size").withColumn("_run", own)
     return placed.select(
         id_column, "piece_no", "token_from", "token_to",
-        (F.col("_bin") + F.floor((F.col("_rank") - F.col("_from")) / F.col("_per"))).cast("bigint").alias("sequence_id"),
+        (F.col("_run._bin") + F.floor((F.col("_rank") - F.col("_run._from")) / F.col("_run._per"))).cast("bigint").alias("sequence_id"),
     )

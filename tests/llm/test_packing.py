@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quorumlake.llm.packing import make_plan, pack, token_counts
+from quorumlake.llm.packing import SPLIT_PATTERN, make_plan, pack, parts_of, read_vocabulary, token_counts
 from quorumlake.llm.queries import VOCABULARY
 
 
@@ -85,6 +85,24 @@ def test_token_counts(spark):
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1 and got[5] >= 3 and got[6] > 1000
 
 
+@pytest.mark.skipif(not Path(VOCABULARY).is_file(), reason="no vocabulary files here")
+def test_parts_have_the_tokens_of_the_whole_text():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in read_vocabulary(VOCABULARY).splitlines() if line)}
+    encoding = tiktoken.Encoding("t", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(5)
+    pieces = ["it's", " ", "  ", "\n", "\n\n ", "don't", "ab", "x9y", "42", "'", "'s", "...", "é", "日本", "!?", "\t", "we'll 've"]
+    for size in (1, 3, 7, 20):
+        for _ in range(300):
+            text = "".join(rnd.choice(pieces) for _ in range(rnd.randrange(0, 30)))
+            parts = list(parts_of(text, size))
+            assert "".join(parts) == text
+            assert sum(len(encoding.encode_ordinary(p)) for p in parts) == len(encoding.encode_ordinary(text)), (text, parts)
+
+
 @pytest.mark.skipif(not Path(VOCABULARY).is_file(), reason="no vocabulary files here")
 def test_test_data_is_packed_tightly(spark, small):
     from quorumlake.llm.queries import p8_fill, p8_sequences
