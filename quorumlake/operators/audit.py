@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from pathlib import Path
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.operators.profiling import all_paths
+from quorumlake.operators.extract import unwrap
+from quorumlake.operators.joins import not_beneath
+from quorumlake.operators.profiling import all_paths, detect_shape, schema_paths
 from quorumlake.operators.skew import salted_join
 from quorumlake.session import cut
-from quorumlake.sources.templates import Template
+from quorumlake.sources.documents import latest_snapshot, read_document
+from quorumlake.sources.templates import Template, template_from
 
 #: Fixed: the buckets of a replay.
 BUCKETS = ["matched", "overridden", "collision", "gap", "unmapped"]
@@ -123,6 +130,97 @@ def method_mismatch(walked: set[str], inferred: set[str], collapsed: set[str]) -
     return sorted(p for p in walked - inferred if not parents(p) & collapsed)
 
 
+#: Fixed: tables that hold no facts of their own.
+META_TABLES = ("_meta", "_claims_ledger", "change_history", "schema_inventory", "discrepancies", "resolved")
+
+
+def canonical_names(tables: Mapping[str, DataFrame], meta: Sequence[str] = META_TABLES) -> list[str]:
+    """The names of all columns of all tables that hold facts: what a source's field may reach."""
+    return sorted({c for n, df in tables.items() if n not in meta and not n.startswith("_") for c in df.columns})
+
+
+def claimed_attributes(claims: DataFrame) -> DataFrame:
+    """(source, attribute): what each source makes claims about."""
+    return claims.select("source", "attribute").distinct()
+
+
+def path_differences(walked: DataFrame, inferred: DataFrame, collapsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all paths of either way of finding them, paths only the walk found that don't lie at or below a
+    collapsed one), both as (path)."""
+    either = walked.select("path").unionByName(inferred.select("path")).distinct()
+    only = walked.select("path").subtract(inferred.select("path"))
+    return either, not_beneath(only, collapsed)
+
+
+@dataclass(frozen=True)
+class SourceCoverage:
+    """What a source's documents hold and where it ends up."""
+
+    source: str
+    endpoints: dict[str, dict[str, list[str]]]  # endpoint -> tier -> fields
+    untemplated: list[str]
+    unreadable: list[str]
+    mismatches: dict[str, list[str]]
+
+    def counts(self) -> dict[str, int]:
+        return {t: sum(len(e.get(t, [])) for e in self.endpoints.values()) for t in ("CANONICAL", "CLAIMS_ONLY", "MISSING")}
+
+
+def source_coverage(
+    spark: SparkSession, root: str | Path, source: str, templates: Mapping[str, Template], tables: Mapping[str, DataFrame], claims: DataFrame
+) -> SourceCoverage:
+    """Every field of every document of a source's last snapshot with its tier, found in two ways.
+
+    Fields of all records count (unsampled): one distributed aggregate a document. A document that isn't
+    JSON is unreadable; one without a template has no mapped field. Documents without records have no
+    fields.
+    """
+    canonical = spark.createDataFrame([(n,) for n in canonical_names(tables)], "attribute string")
+    claimed = claimed_attributes(claims).filter(F.col("source") == source).select("attribute")
+    by_endpoint = {t.endpoint: t for t in templates.values() if t.source_key == source}
+    snapshot = latest_snapshot(root, source)
+    out = SourceCoverage(source, {}, [], [], {})
+    for p in sorted((Path(root) / source / snapshot).glob("*.json")) if snapshot else []:
+        if p.name.startswith("."):
+            continue
+        doc = read_document(spark, root, source, p.stem, snapshot)
+        if doc.filter("doc is not null").isEmpty():
+            out.unreadable.append(p.stem)
+            continue
+        t = by_endpoint.get(p.stem)
+        if t is None:
+            out.untemplated.append(p.stem)
+            t = template_from({"source_key": source, "endpoint": p.stem, "record_extraction": shape_of_document(doc)})
+        records = unwrap(doc, t)
+        walked = all_paths(records)
+        fields = spark.createDataFrame([(x,) for x in sorted(walked)], "path string")
+        tiers = coverage_tiers(fields, spark.createDataFrame(mapped_fields(t), "path string, attribute string"), canonical, claimed).collect()
+        out.endpoints[p.stem] = {tier: sorted(r.path for r in tiers if r.tier == tier) for tier in ("CANONICAL", "CLAIMS_ONLY", "MISSING")}
+        missed = method_mismatch(walked, *schema_paths(records))
+        if missed:
+            out.mismatches[p.stem] = missed
+    return out
+
+
+def shape_of_document(doc: DataFrame) -> dict[str, Any]:
+    """How to take records out of a document (one row) that has no template."""
+    shape = detect_shape(json.loads(doc.select("text").first()["text"]))
+    return {"unwrap_path": shape["path"], "iterate_mode": shape["mode"]} if shape else {"iterate_mode": "single_object"}
+
+
+def coverage_markdown(found: Sequence[SourceCoverage]) -> str:
+    """The report on all sources: counts by tier, then what is missing, untemplated or unreadable."""
+    rows = [{"source": c.source, **{t.lower(): n for t, n in c.counts().items()}} for c in found]
+    text = markdown(rows, "Field coverage")
+    for c in found:
+        notes = [f"- {e}: missing {', '.join(t['MISSING'])}" for e, t in sorted(c.endpoints.items()) if t.get("MISSING")]
+        notes += [f"- {e}: no template" for e in c.untemplated] + [f"- {e}: not readable" for e in c.unreadable]
+        notes += [f"- {e}: only found record by record: {', '.join(x)}" for e, x in sorted(c.mismatches.items())]
+        if notes:
+            text += f"\n## {c.source}\n\n" + "\n".join(notes) + "\n"
+    return text
+
+
 def coverage_report(endpoints: Mapping[str, tuple[DataFrame, Template]], canonical: DataFrame, claimed: DataFrame) -> list[dict]:
     """Per endpoint the number of fields in each tier, and the fields that reach nothing."""
     rows = []

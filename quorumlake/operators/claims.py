@@ -38,6 +38,7 @@ def unpivot_claims(
     group and member (together unique per row) order the rows; attributes follow in the order given.
     """
     cells = [F.struct(F.lit(a).alias("attribute"), c.cast("string").alias("value_json"), F.lit(i).alias("_i")) for i, (a, c) in enumerate(attributes.items())]
+    cells = cells or [F.struct(F.lit("").alias("attribute"), F.lit(None).cast("string").alias("value_json"), F.lit(0).alias("_i"))]  # nothing mapped, no claim
     places = [record.alias("_r"), (F.lit(0) if group is None else group).alias("_g"), (F.lit(0) if member is None else member).alias("_m")]
     rows = df.select(entity.alias("entity_id"), *places, F.explode(F.array(*cells)).alias("_c"))
     return rows.filter("entity_id is not null and _c.value_json is not null").select(

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+import re
+from collections.abc import Iterable, Iterator, Mapping
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,10 +134,44 @@ def paths_of_schema(schema: str) -> set[str]:
     return out
 
 
+def dynamic_paths(schema: str) -> set[str]:
+    """Paths of such a text that have no type of their own, because records disagree on it; what lies below
+    them isn't in it."""
+    return {p for p in paths_of_schema(re.sub(r"\bVARIANT\b", "OBJECT<*: VOID>", schema)) if p.endswith(".*")}
+
+
+def schema_paths(records: DataFrame) -> tuple[set[str], set[str]]:
+    """(paths, paths that are left dynamic) as one distributed schema aggregate sees them."""
+    found = records.agg(F.schema_of_variant_agg("record").alias("s")).first()["s"]
+    return (paths_of_schema(found), {p.removesuffix(".*") for p in dynamic_paths(found)}) if found else (set(), set())
+
+
+def walk_paths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """JSON texts to the dotted paths in them, each once a task; arrays are looked through."""
+    seen: set[str] = set()
+    for batch in batches:
+        fresh = set()
+        for text in batch.column(0).to_pylist():
+            stack = [("", json.loads(text))] if text else []
+            while stack:
+                at, v = stack.pop()
+                if isinstance(v, list):
+                    stack += [(at, x) for x in v if isinstance(x, (dict, list))]
+                    continue
+                for k, x in v.items() if isinstance(v, dict) else ():
+                    path = f"{at}.{k}" if at else k
+                    fresh.add(path)
+                    if isinstance(x, (dict, list)):
+                        stack.append((path, x))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(fresh - seen), pa.string())], names=["path"])
+        seen |= fresh
+
+
 def all_paths(records: DataFrame) -> set[str]:
-    """Dotted paths of every record, unsampled: one distributed schema aggregate."""
-    found = records.agg(F.schema_of_variant_agg("record").alias("s")).first()
-    return paths_of_schema(found["s"]) if found and found["s"] else set()
+    """Dotted paths of every record, unsampled and whatever type a field has elsewhere; as many as the
+    records' fields have."""
+    texts = records.select(F.to_json("record").alias("t"))
+    return {r.path for r in texts.mapInArrow(walk_paths, "path string").distinct().collect()}
 
 
 def profile_source(spark: SparkSession, root: str | Path, source: str, previous: Mapping[str, Mapping[str, Any]] | None = None) -> dict[str, dict[str, Any]]:

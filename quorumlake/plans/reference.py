@@ -112,9 +112,9 @@ def fallback_join(spark: SparkSession, d: str) -> DataFrame:
 def norm_name_join(spark: SparkSession, d: str) -> DataFrame:
     """Left join on a normalised name."""
     s, c = table(spark, d, "supplier"), table(spark, d, "customer")
-    left = s.select("s_suppkey", T.strict_join_key(F.replace("s_name", F.lit("Supplier"), F.lit("Entity"))).alias("k"))
-    right = c.select("c_custkey", T.strict_join_key(F.replace("c_name", F.lit("Customer#"), F.lit("entity "))).alias("k"))
-    return left.join(right, "k", "left").select("s_suppkey", "c_custkey", "k")
+    left = T.strict_join_key(F.replace("s_name", F.lit("Supplier"), F.lit("Entity")))
+    right = T.strict_join_key(F.replace("c_name", F.lit("Customer#"), F.lit("entity ")))
+    return joins.name_join(s, c, left, right).select("s_suppkey", "c_custkey", "k")
 
 
 def existence_flags(spark: SparkSession, d: str) -> DataFrame:
@@ -128,15 +128,16 @@ def enrichment_join(spark: SparkSession, d: str) -> DataFrame:
     """Rows with the context of their dimensions."""
     c, n, r, o = (table(spark, d, t) for t in ("customer", "nation", "region", "orders"))
     counts = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"))
-    out = c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").join(r, F.col("n_regionkey") == r["r_regionkey"], "left")
-    return out.join(counts, c["c_custkey"] == counts["o_custkey"], "left").select("c_custkey", "n_name", "r_name", F.coalesce("n_orders", F.lit(0).cast("bigint")).alias("n_orders"))
+    out = joins.lookup(c.select("c_custkey", "c_nationkey"), n, F.col("c_nationkey"), F.col("n_nationkey"), ["n_name", "n_regionkey"])
+    out = joins.lookup(out, r, F.col("n_regionkey"), F.col("r_regionkey"), ["r_name"])
+    out = joins.lookup(out, counts, F.col("c_custkey"), F.col("o_custkey"), ["n_orders"], {"n_orders": F.lit(0).cast("bigint")})
+    return out.select("c_custkey", "n_name", "r_name", "n_orders")
 
 
 def left_anti_rows(spark: SparkSession, d: str) -> DataFrame:
-    """What has no partner."""
+    """What has no partner."""
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    large = o.filter("o_totalprice > 400000")
-    return c.join(large, c["c_custkey"] == large["o_custkey"], "left_anti").select("c_custkey")
+    return joins.without_partner(c.select("c_custkey"), o.filter("o_totalprice > 400000"), F.col("c_custkey"), F.col("o_custkey"))
 
 
 def not_beneath_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +162,7 @@ def json_nested_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_flatten_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Fields of all records with counts and types."""
+    """Fields of all records with counts and types."""
     out = profiling.catalog_fields(event_records(spark, d), None)
     return out.select("path", "n_present", F.array_join("types", ",").alias("types"), "example")
 
@@ -246,7 +247,7 @@ def identity_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latest_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of each key's last snapshot."""
+    """The rows of each key's last snapshot."""
     s = table(spark, d, "forms").select(F.lower(F.btrim("slug", F.lit(" \t"))).alias("slug"), "snapshot_ts", "loaded_at")
     return D.latest_rows(s, ["slug"], "snapshot_ts")
 
@@ -324,7 +325,7 @@ ALL_TABLES = [
 
 
 def schema_inventory(spark: SparkSession, d: str) -> DataFrame:
-    """All tables by size with the number of their fields."""
+    """All tables by size with the number of their fields."""
     out = sinks.schema_inventory({n: table(spark, d, n) for n in ALL_TABLES})
     return out.select("table_name", "row_count", F.col("field_count").cast("bigint").alias("field_count"))
 
@@ -342,16 +343,15 @@ def dup_identity_check(spark: SparkSession, d: str) -> DataFrame:
 def union_tagged(spark: SparkSession, d: str) -> DataFrame:
     """Two tables as one with a constant tag."""
     s, c = table(spark, d, "supplier"), table(spark, d, "customer")
-    return s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit(True).alias("is_supplier")).unionByName(
-        c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(False).alias("is_supplier"))
-    )
+    suppliers = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    customers = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return joins.union_tagged([(suppliers, {"is_supplier": F.lit(True)}), (customers, {"is_supplier": F.lit(False)})])
 
 
 def search_filter(spark: SparkSession, d: str) -> DataFrame:
     """rows any of whose texts contains the words searched."""
-    p, q = table(spark, d, "part"), "ring"
-    hit = F.lower("p_name").contains(q) | F.col("p_partkey").cast("string").contains("77") | F.lower("p_type").startswith("eco")
-    return p.filter(hit).select("p_partkey", "p_name")
+    found = joins.search(table(spark, d, "part"), [("p_name", "contains", "ring"), ("p_partkey", "contains", "77"), ("p_type", "starts", "eco")])
+    return found.select("p_partkey", "p_name")
 
 
 def crosstab_unpivot(spark: SparkSession, d: str) -> DataFrame:
@@ -386,7 +386,7 @@ def passthrough_templates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raid_boss_records(spark: SparkSession, d: str) -> DataFrame:
-    """Bosses of all raid files by a template with an injected key."""
+    """Bosses of all raid files by a template with an injected key."""
     p = table(spark, d, "raw_payloads").filter("endpoint = 'raidboss'")
     docs = p.select("payload_id", F.try_parse_json("payload").alias("doc"), F.col("payload").alias("text"))
     t = template_from(
@@ -431,19 +431,19 @@ def top_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bool_group_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Counts per source and flag."""
-    return table(spark, d, "documents").groupBy("source", (F.col("n_chars") > 1000).alias("is_long")).agg(F.count(F.lit(1)).alias("n"))
+    """Counts per source and flag."""
+    return joins.flag_counts(table(spark, d, "documents"), ["source"], {"is_long": F.col("n_chars") > 1000})
 
 
 def format_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """A table through CSV, JSON and Parquet and back."""
+    """A table through CSV, JSON and Parquet and back."""
     folder = f"{ensure_checkpoint_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     n.write.option("header", True).csv(f"{folder}/csv")
-    n.write.json(f"{folder}/json")
+    n.agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name")))).write.text(f"{folder}/json")  # one document of 25 records
     n.write.parquet(f"{folder}/parquet")
     csv = D.read_csv(spark, f"{folder}/csv").select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_name").alias("csv_name"))
-    js = spark.read.json(f"{folder}/json").select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_name").alias("json_name"))
+    js = D.read_json_inferred(spark, f"{folder}/json").select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_name").alias("json_name"))
     pq = spark.read.parquet(f"{folder}/parquet").select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_name").alias("parquet_name"))
     return csv.join(js, "k").join(pq, "k")
 
@@ -478,6 +478,163 @@ def species_names(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("dex_number", "language").agg(F.count_distinct("name").alias("n_names"), F.min("name").alias("first_name"))
 
 
+def payload_documents(spark: SparkSession, d: str, endpoint: str) -> DataFrame:
+    p = table(spark, d, "raw_payloads").filter(F.col("endpoint") == endpoint)
+    return p.select("payload_id", F.try_parse_json("payload").alias("doc"), F.col("payload").alias("text"))
+
+
+def single_object_record(spark: SparkSession, d: str) -> DataFrame:
+    """An object of a document as one record."""
+    t = template_from({"source_key": "s", "endpoint": "e", "record_extraction": {"unwrap_path": ["currentList"], "iterate_mode": "single_object"}})
+    found = extract.unwrap(payload_documents(spark, d, "raidboss"), t)
+    return found.select("payload_id", F.size(V.entries(F.col("record"))).cast("bigint").alias("n_tiers"))
+
+
+def override_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of a template whose overrides beat its mappings."""
+    t = template_from({
+        "source_key": "m", "endpoint": "mega_pokemon", "identity_field": "pokemon_id", "entity_id_prefix": "mega",
+        "field_mappings": {"shown": {"source_field": "mega_name"}, "form": {"source_field": "form"}}, "overrides": {"shown": {"source_field": "pokemon_name"}},
+    })
+    found = claims.record_claims(extract.unwrap(payload_documents(spark, d, "mega_pokemon"), t), t)
+    return found.select("entity_id", "attribute", "value_json", F.col("seq.record.at").alias("at"), F.col("seq.attribute").alias("place"))
+
+
+def sub_record_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of the entities nested in each record, under their own ids."""
+    t = template_from({
+        "source_key": "m", "endpoint": "raidboss", "identity_field": "id", "entity_id_prefix": "boss",
+        "record_extraction": {"unwrap_path": ["currentList"], "iterate_mode": "dict_of_lists"},
+        "sub_records": [{"list_field": "battleResult", "container_type": "dict", "field_mappings": {"level": {"source_field": "pokemonLevel"}}}],
+    })
+    found = claims.record_claims(extract.unwrap(payload_documents(spark, d, "raidboss"), t), t)
+    return found.groupBy("entity_id", "attribute", "value_json").agg(F.count(F.lit(1)).alias("n_claims"))
+
+
+def polymorphic_members(spark: SparkSession, d: str) -> DataFrame:
+    """Members of documents that are lists or objects, whichever they are."""
+    docs = payload_documents(spark, d, "mega_pokemon").unionByName(payload_documents(spark, d, "raidboss"))
+    found = extract.list_or_object(docs.select("doc", "text"))
+    return found.groupBy("record_key", F.col("pos.at").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def shouted_types(spark: SparkSession, d: str) -> DataFrame:
+    """Shouted constants without their prefix."""
+    m = table(spark, d, "moves").select(F.upper(F.btrim("move_type")).alias("t")).filter("t <> ''").distinct()
+    return m.select("t", T.without_prefix(F.concat(F.lit("POKEMON_TYPE_"), "t"), "POKEMON_TYPE_").alias("shown"), T.without_prefix(F.col("t"), "POKEMON_TYPE_").alias("plain"))
+
+
+def canonical_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values as canonical JSON, equal however they are written, and whole numbers only."""
+    e = table(spark, d, "events")
+    spelled = F.parse_json(F.concat(F.lit('{"b": '), F.col("event_id").cast("string"), F.lit('.0, "a": '), F.get_json_object("props", "$.k"), F.lit("}")))
+    half = F.to_variant_object(F.struct((F.col("event_id") / 2).alias("h")))
+    return e.select("event_id", V.canonical(spelled).alias("json"), T.integer_only(F.try_variant_get(F.parse_json("props"), "$.k", "variant")).alias("whole"), T.integer_only(V.field(half, "h")).isNull().alias("no_whole"))
+
+
+def attribute_claims(spark: SparkSession, d: str) -> DataFrame:
+    """One attribute's claims that say something, the last of each entity."""
+    e = table(spark, d, "events")
+    rows = e.select(
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("entity_id"), F.col("event_type").alias("attribute"), F.lit("events").alias("source"),
+        F.get_json_object("props", "$.k").alias("value_json"), F.lit(1).alias("priority"), F.col("event_id").alias("seq"),
+    )
+    last = claims.last_wins(claims.truthy_claims(rows.filter("attribute = 'click'")))
+    return last.select("entity_id", "value_json")
+
+
+def discrepancy_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Disagreements, once per entity and attribute, counted by attribute and kind."""
+    found = resolve.discrepancies(order_claims(spark, d))
+    return found.groupBy("attribute", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity_id").alias("n_entities"))
+
+
+def replay_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """A replay against several tables, of which the first that has the entity counts."""
+    ledger = order_claims(spark, d)
+    won = resolve.resolve(ledger).select("entity_id", "attribute", "value_json")
+    even = won.filter("right(entity_id, 1) in ('0', '2', '4', '6', '8')")
+    first = even.select(F.lit("urgent").alias("table_name"), "entity_id", "attribute", F.when(F.col("attribute") == "status", F.lit("?")).otherwise(F.col("value_json")).alias("value_json"))
+    tables = first.unionByName(won.select(F.lit("orders").alias("table_name"), "entity_id", "attribute", "value_json"))
+    found = audit.replay(ledger, tables, F.lit(True), candidates=[("urgent", F.col("entity_id")), ("orders", F.col("entity_id"))])
+    return found.groupBy("attribute", "source", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def source_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """What each source makes claims about."""
+    return audit.claimed_attributes(order_claims(spark, d))
+
+
+def canonical_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The names of all columns of the tables that hold facts, in order."""
+    tables = {n: table(spark, d, n) for n in ALL_TABLES}
+    return spark.createDataFrame([(n,) for n in audit.canonical_names(tables)], "column_name string")
+
+
+def path_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The paths of all mega records at any depth, and which of them a look one level down misses."""
+    t = template_from({"source_key": "m", "endpoint": "mega_pokemon"})
+    records = extract.unwrap(payload_documents(spark, d, "mega_pokemon"), t)
+    walked = spark.createDataFrame([(p,) for p in sorted(profiling.all_paths(records))], "path string")
+    flat = profiling.record_fields(records).select("path").distinct()
+    either, only = audit.path_differences(walked, flat, flat.limit(0))
+    return either.join(only.withColumn("deep", F.lit(True)), "path", "left").select("path", F.coalesce("deep", F.lit(False)).alias("deep"))
+
+
+def kind_records(spark: SparkSession, d: str) -> DataFrame:
+    """Objects of several kinds in one list, as one flat table of a kind."""
+    e = table(spark, d, "events")
+    text = F.concat(F.lit('[{"templateId": "T'), F.col("event_id").cast("string"), F.lit('", "data": {"'), F.col("event_type"), F.lit('": {"p": '), F.col("props"), F.lit("}}}]"))
+    records = D.heterogeneous_records(e.select(F.parse_json(text).alias("doc")))
+    return D.records_of_kind(records, "click").select("template_id", F.col("`p.k`").cast("bigint").alias("k"))
+
+
+def domain_row_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per table of a build."""
+    return sinks.domain_counts({n: table(spark, d, n) for n in ("species", "forms", "moves", "raid_bosses", "community_days")})
+
+
+def coverage_totals(spark: SparkSession, d: str) -> DataFrame:
+    """How many fields each tier has."""
+    return audit.tier_counts(coverage_tiers(spark, d))
+
+
+def mapped_field_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The paths that a template reads, fallbacks and nested ones included."""
+    t = template_from({
+        "source_key": "m", "endpoint": "e", "field_mappings": {"name": {"source_field": "names.English", "transform": "nested_path", "fallback_field": "id"}},
+        "sub_records": [{"list_field": "forms", "field_mappings": {"form_name": {"source_field": "form"}}}],
+    })
+    return spark.createDataFrame(audit.mapped_fields(t), "path string, attribute string")
+
+
+def claims_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed claims as JSON lines under their source and snapshot, read back."""
+    folder = f"{ensure_checkpoint_dir(spark)}/dump-{uuid.uuid4().hex}"
+    path = sinks.dump_claims(eav_unpivot(spark, d), folder, "parts", "2031-01-01T000000Z")
+    return spark.read.schema("entity_id string, attribute string, value_json string, record bigint, place bigint").json(path)
+
+
+def submission_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Submitted rows as claims of their trust tier; rows that name nothing give none."""
+    c = table(spark, d, "customer").select(
+        F.when(F.col("c_custkey") % 5 > 0, F.col("c_name")).alias("entity"), F.when(F.col("c_nationkey") == 3, F.lit("")).otherwise(F.col("c_mktsegment")).alias("field"),
+        F.lit("").alias("value"), F.col("c_custkey").cast("string").alias("new_value"),
+    )
+    return sinks.submissions_as_claims(c)
+
+
+def array_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Every array at the top of a document as a table of its own, empty ones too."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    nations = n.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nationList"))
+    names = r.agg(F.array_sort(F.collect_list("r_name")).alias("regionNames"))
+    doc = nations.withColumn("_k", F.lit(1)).join(names.withColumn("_k", F.lit(1)), "_k")  # one row each
+    doc = doc.select(F.parse_json(F.to_json(F.struct("nationList", "regionNames", F.array().cast("array<string>").alias("emptyOne"), F.lit(1).alias("scalar")))).alias("doc"))
+    counts = sinks.write_arrays(doc, f"{ensure_checkpoint_dir(spark)}/arrays-{uuid.uuid4().hex}")
+    return spark.createDataFrame(sorted(counts.items()), "table_name string, n_rows bigint")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -487,6 +644,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         snapshot_diff, entity_created, ledger_replay, coverage_tiers, rank_identity, range_pairs, fingerprint, schema_inventory, top_tables,
         dup_identity_check, union_tagged, search_filter, crosstab_unpivot, keyed_list_rows, conditional_array, passthrough_templates,
         raid_boss_records, mega_records, mega_by_template_key, species_names, first_by_priority, top_orders, bool_group_counts, format_roundtrip,
-        custom_table_sql,
+        custom_table_sql, single_object_record, override_claims, sub_record_claims, polymorphic_members, shouted_types, canonical_values, attribute_claims,
+        discrepancy_counts, replay_candidates, source_attributes, canonical_columns, path_sets, kind_records, domain_row_counts, coverage_totals,
+        mapped_field_paths, claims_dump, submission_claims, array_tables,
     )
 }

@@ -191,4 +191,57 @@ select o_custkey, o_orderkey, o_orderpriority from (select *, row_number() over
     "bool_group_counts": "select source, n_chars > 1000 as is_long, count(*) as n from documents group by 1, 2",
     "format_roundtrip": "select cast(n_nationkey as bigint) as k, n_name as csv_name, n_name as json_name, n_name as parquet_name from nation",
     "custom_table_sql": "select o_orderstatus as status, count(*) as n from orders group by 1",
+    "single_object_record": """
+select payload_id, len(json_keys(payload, '$.currentList')) as n_tiers from raw_payloads
+where endpoint = 'raidboss' and json_valid(payload) and json_type(payload, '$.currentList') = 'OBJECT'""",
+    "override_claims": f"""
+select 'mega_' || json_extract_string(r, '$.pokemon_id') as entity_id, a as attribute, cast(v as varchar) as value_json, pos as at, cast(i as bigint) as place
+from {MEGA}, lateral (values ('shown', json_extract(r, '$.pokemon_name'), 0), ('form', json_extract(r, '$.form'), 1)) x(a, v, i)
+where json_extract_string(r, '$.pokemon_id') is not null and json_type(v) <> 'NULL'""",
+    "sub_record_claims": f"""
+with m as (select json_extract_string(b, '$.id') as id, k, json_extract(b, '$.battleResult."' || k || '"') as o from (
+  select b, unnest(json_keys(b, '$.battleResult')) as k from {RAID} where json_type(b, '$.battleResult') = 'OBJECT'))
+select 'boss_' || id || '_form_' || k as entity_id, a as attribute, v as value_json, count(*) as n_claims from m,
+lateral (values ('dex_number', '"' || id || '"'), ('form_name', '"' || upper(k[1]) || lower(k[2:]) || '"'), ('gender', '"unknown"'),
+  ('level', cast(json_extract(o, '$.pokemonLevel') as varchar))) x(a, v)
+where id is not null and json_type(o) = 'OBJECT' and v is not null group by 1, 2, 3""",
+    "polymorphic_members": f"""
+select cast(null as varchar) as record_key, pos as at, count(*) as n from {MEGA} where json_type(r) = 'OBJECT' group by 2
+union all select k, i - 1, count(*) from (
+  select payload, unnest(json_keys(payload)) as k, generate_subscripts(json_keys(payload), 1) as i from raw_payloads where endpoint = 'raidboss' and json_valid(payload))
+where json_type(payload, '$."' || k || '"') = 'OBJECT' group by 1, 2""",
+    "shouted_types": """
+select t, upper(t[1]) || lower(t[2:]) as shown, upper(t[1]) || lower(t[2:]) as plain from (select distinct upper(trim(move_type)) as t from moves) where t <> ''""",
+    "canonical_values": """
+select event_id, '{"a":' || json_extract_string(props, '$.k') || ',"b":' || event_id || '}' as json, cast(json_extract(props, '$.k') as bigint) as whole, true as no_whole from events""",
+    "attribute_claims": """
+select 'user_' || user_id as entity_id, arg_max(json_extract_string(props, '$.k'), event_id) as value_json from events
+where event_type = 'click' and cast(json_extract(props, '$.k') as bigint) <> 0 group by 1""",
+    "discrepancy_counts": f"""
+select attribute, kind, count(*) as n, count(distinct entity_id) as n_entities from (
+  select entity_id, attribute, case when count(distinct source) = 1 then 'self' else 'cross_source' end as kind from {CLAIMS}
+  where value_json is not null group by 1, 2 having count(distinct value_json) > 1) group by 1, 2""",
+    "replay_candidates": f"""
+with c as (select * from {CLAIMS} where value_json is not null), r as ({RESOLVED}),
+j as (select c.*, r.value_json as won, r.winning_source as ws,
+  case when right(entity_id, 1) in ('0', '2', '4', '6', '8') and attribute = 'status' then '?' else r.value_json end as stored from c join r using (entity_id, attribute))
+select attribute, source, case when value_json = stored then 'matched' when won = stored and ws <> source then 'overridden' when won = stored then 'collision' else 'gap' end as bucket,
+  count(*) as n from j group by 1, 2, 3""",
+    "source_attributes": f"select distinct source, attribute from {CLAIMS} where value_json is not null",
+    "canonical_columns": "select distinct column_name from (" + " union all ".join(f"select column_name from (describe {t})" for t in ALL_TABLES if t not in ("change_history", "discrepancies")) + ")",
+    "path_sets": f"""
+with a as (select k, json_extract(r, '$."' || k || '"') as v from (select r, unnest(json_keys(r)) as k from {MEGA})),
+b as (select k || '.' || j as k, json_extract(v, '$."' || j || '"') as v from (select k, v, unnest(json_keys(v)) as j from a where json_type(v) = 'OBJECT')),
+c as (select k || '.' || j as k from (select k, unnest(json_keys(v)) as j from b where json_type(v) = 'OBJECT'))
+select k as path, bool_and(deep) as deep from (select k, false as deep from a union all select k, false from b union all select k, true from c) group by 1""",
+    "kind_records": "select 'T' || event_id as template_id, cast(json_extract(props, '$.k') as bigint) as k from events where event_type = 'click'",
+    "domain_row_counts": " union all ".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in ("species", "forms", "moves", "raid_bosses", "community_days")),
+    "mapped_field_paths": "select * from (values ('names.English', 'name'), ('id', 'name'), ('forms.form', 'form_name')) x(path, attribute)",
+    "submission_claims": """
+select c_name as entity_id, c_mktsegment as attribute, cast(c_custkey as varchar) as value, 'confirmed_owner_submission' as trust_tier
+from customer where c_custkey % 5 > 0 and c_nationkey <> 3 and c_mktsegment <> ''""",
+    "array_tables": """
+select 'refjson_nation_list' as table_name, count(*) as n_rows from nation union all select 'refjson_region_names', count(*) from region union all select 'refjson_empty_one', 0""",
 }
+ORACLE_SQL["claims_dump"] = ORACLE_SQL["eav_unpivot"]
+ORACLE_SQL["coverage_totals"] = f"select tier, count(*) as n from ({ORACLE_SQL['coverage_tiers']}) group by 1"

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import shutil
 from collections.abc import Iterable, Mapping
 from datetime import UTC, datetime
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
@@ -13,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quorumlake.session import cut
+
 INVENTORY_SCHEMA = "source string, table_name string, row_count bigint, field_count int, sample_fields string"
 META_SCHEMA = "source string, last_pulled_at string"
 HISTORY_SCHEMA = "recorded_at string, entity_id string, attribute string, old_value string, new_value string, source_key string"
 
-#: Tables that diffs follow, with their keys.
+#: Fixed: tables that diffs follow, with their keys.
 DIFFED = {"species": "slug", "forms": "slug", "moves": "move_id", "progression": "level", "weather_boosts": "weather", "community_days": "event_id"}
 
 
@@ -147,3 +151,61 @@ def submissions_as_claims(rows: DataFrame, tier: str = "confirmed_owner_submissi
         pick("entity_id", "entity").alias("entity_id"), pick("attribute", "field").alias("attribute"), pick("value", "new_value").alias("value"), F.lit(tier).alias("trust_tier")
     )
     return out.filter("entity_id is not null and attribute is not null")
+
+
+def append_submissions(spark: SparkSession, csv: str, folder: str, tier: str = "confirmed_owner_submission") -> int:
+    """Appends the submissions of a CSV file to the stored ones (JSON lines); returns how many there are now.
+
+    A missing file is an error; rows are kept as they are delivered, also if they were before.
+    """
+    from quorumlake.sources.documents import read_csv
+
+    submissions_as_claims(read_csv(spark, csv), tier).write.mode("append").json(folder)
+    return spark.read.schema("entity_id string, attribute string, value string, trust_tier string").json(folder).count()
+
+
+def write_arrays(documents: DataFrame, folder: str, prefix: str = "refjson_") -> dict[str, int]:
+    """Every top-level array of a document as a Parquet table of its own, replacing what was there.
+
+    Tables have an inferred schema over all their rows; members of another kind than objects are one
+    column `value`. An empty array gives an empty table with a column `placeholder`. Returns rows per table.
+    """
+    from quorumlake.sources.documents import flattened, top_level_arrays
+
+    rows = cut(top_level_arrays(documents, prefix))
+    spark, out = documents.sparkSession, {}
+    # as many tables as the document has arrays at its top
+    for name in sorted(r.table_name for r in rows.select("table_name").distinct().collect()):
+        own = rows.filter((F.col("table_name") == name) & F.col("record").isNotNull())
+        found = own.agg(F.schema_of_variant_agg("record").alias("s"), F.count(F.lit(1)).alias("n")).first()
+        out[name] = found["n"]
+        if not found["n"]:
+            table = spark.createDataFrame([], "placeholder string")
+        elif found["s"].startswith("OBJECT<") and found["s"] != "OBJECT<>":
+            schema = found["s"].replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+            table = flattened(own.select("position", F.from_json(F.to_json("record"), schema).alias("_r")).select("position", "_r.*"))
+        else:
+            table = own.select("position", F.to_json("record").alias("value"))
+        table.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    return out
+
+
+def domain_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table_name, n_rows) of a build."""
+    counted = [df.select(F.lit(n).alias("table_name")).groupBy("table_name").agg(F.count(F.lit(1)).alias("n_rows")) for n, df in tables.items()]
+    found = reduce(DataFrame.unionByName, counted)
+    names = found.sparkSession.createDataFrame([(n,) for n in tables], "table_name string")
+    return names.join(found, "table_name", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+
+
+def with_counts(text: str, counts: Mapping[str, int]) -> str:
+    """A Markdown text whose table rows `| name | number |` have the numbers of a build; other lines stay."""
+
+    def line(x: str) -> str:
+        cells = [c.strip() for c in x.split("|")]
+        name = cells[1].strip("`*") if len(cells) > 3 else ""
+        if name not in counts or not re.fullmatch(r"[\d,~]+", cells[2]):
+            return x
+        return x.replace(cells[2], f"{counts[name]:,}", 1)
+
+    return "\n".join(line(x) for x in text.split("\n"))

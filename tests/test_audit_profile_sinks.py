@@ -242,3 +242,16 @@ def test_profile_of_a_whole_source(spark, tmp_path):
     assert set(drafts) == {"one", "two"} and drafts["one"]["identity_field"] == "v" and drafts["two"]["identity_field"] == "k"
     assert drafts["two"]["record_extraction"] == {"unwrap_path": ["list"], "iterate_mode": "dict_of_lists"}
     assert profiling.profile_source(spark, tmp_path, "unknown") == {}
+
+
+def test_paths_where_records_disagree_on_a_type(spark):
+    """A field that is a number here and an object there: the walk has what lies below, the schema doesn't."""
+    from quorumlake.operators import audit, profiling
+
+    df = spark.createDataFrame([('{"a": 1, "b": [{"c": {"d": 1}}]}',), ('{"a": {"x": {"y": 2}}, "e": "t"}',)], "j string").select(F.parse_json("j").alias("record"))
+    walked = profiling.all_paths(df)
+    assert walked == {"a", "a.x", "a.x.y", "b", "b.c", "b.c.d", "e"}
+    paths, dynamic = profiling.schema_paths(df)
+    assert paths == {"a", "b", "b.c", "b.c.d", "e"} and dynamic == {"a"}
+    assert audit.method_mismatch(walked, paths, dynamic) == [] and audit.method_mismatch(walked, paths, set()) == ["a.x", "a.x.y"]
+    assert profiling.all_paths(df.limit(0)) == set()
