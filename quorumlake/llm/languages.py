@@ -99,6 +99,8 @@ def gram_hashes(lines: Sequence[str], grams: Sequence[int]) -> tuple[np.ndarray,
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
 
 
+#: Counts of sets of languages that are held at a time; beyond it languages are counted one by one.
+MOST_CELLS = 1 << 22
 #: Characters that are turned into n-grams at a time; bounds a worker's memory however long the texts are.
 CHUNK_CHARS = 1 << 20
 
@@ -162,10 +164,19 @@ class LanguageFilters:
         out, total = np.zeros((len(lines), len(self.languages))), np.zeros(len(lines))
         for pieces, owners in chunked(lines, max(self.grams) - 1):
             hashes, number = gram_hashes(pieces, self.grams)
-            owner = np.array(owners, np.int64)[number] if len(number) else number
             mask = None
             for at in self.positions(hashes):
                 mask = self.slots[at] if mask is None else mask & self.slots[at]
+            # how often each line has each set of languages, then the languages' shares of that
+            sets = 1 << len(self.languages)
+            if len(pieces) * sets <= MOST_CELLS:
+                piece = number * sets + mask if len(number) else number
+                seen = np.bincount(piece, minlength=len(pieces) * sets).reshape(len(pieces), sets)
+                bits = (np.arange(sets)[:, None] >> np.arange(len(self.languages))) & 1
+                np.add.at(out, owners, seen @ bits)
+                np.add.at(total, owners, seen.sum(1))
+                continue
+            owner = np.array(owners, np.int64)[number] if len(number) else number
             total += np.bincount(owner, minlength=len(lines))
             for b in range(len(self.languages)):
                 out[:, b] += np.bincount(owner, weights=(mask >> b) & 1, minlength=len(lines))

@@ -124,6 +124,15 @@ def test_uncapitalised():
     assert G.uncapitalised("Der Drache greift an") == " greift an " and G.uncapitalised("NUR LAUT") == " nur laut " and G.uncapitalised("Kudiraguse") == "  "
 
 
+def test_counting_sets_equals_counting_languages(fitted, monkeypatch):
+    rnd = random.Random(13)
+    lines = [G.plain(sentence(rnd, rnd.choice(list(WORDS)), rnd.randrange(0, 30))) for _ in range(50)] + ["", " ", "x"]
+    monkeypatch.setattr(G, "CHUNK_CHARS", 200)
+    a = fitted.scores(lines)
+    monkeypatch.setattr(G, "MOST_CELLS", 0)
+    assert np.allclose(a, fitted.scores(lines)) and fitted.scores([]).shape == (0, 3)
+
+
 def test_texts_count_an_ngram_once():
     lines = ["abc abc abc", "abc"]
     h, b, n = G.gram_counts([(lines, np.array([0, 0])), (lines[:1], np.array([1])), (["abc"], np.array([0])), (["zzz"], np.array([-1]))], 2, (3,))
